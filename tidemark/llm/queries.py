@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ngram_join, packing, substring_dedup
+from tidemark.llm import byte_bpe, ngram_join, packing, substring_dedup, token_counts
+from tidemark.llm.store import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,11 +19,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as flat token files in the shared folder, then their counts from those files alone."""
+    path = new_path(spark, "flat-tokens")
+    token_counts.write_flat(_read(spark, sf_dir, "documents"), path)
+    return token_counts.scan_documents(token_counts.read_blocks(spark, path)).select("doc_id", "n_tokens", "terminated")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.round_trip(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids_csv", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(_read(spark, sf_dir, "documents"))
 
@@ -31,7 +44,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op4_token_counts,
         op5_substring_dedup,
+        op6_byte_bpe,
         op10_ngram_jaccard_join,
     )
 }
