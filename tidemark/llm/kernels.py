@@ -109,6 +109,10 @@ class Words:
         return np.repeat(self.offsets[1:], self.counts)
 
 
+def white_space(data: np.ndarray) -> np.ndarray:
+    return _WS[data]
+
+
 def split_words(c: Chunk) -> Words:
     n = len(c.data)
     if not n:

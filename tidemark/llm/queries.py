@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, ngram_join, packing, substring_dedup, token_counts
+from tidemark.llm import byte_bpe, ngram_join, packing, quality_rules, substring_dedup, token_counts
 from tidemark.llm.store import new_path
 
 
@@ -19,6 +19,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as flat token files in the shared folder, then their counts from those files alone."""
     path = new_path(spark, "flat-tokens")
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_quality_rules,
         op4_token_counts,
         op5_substring_dedup,
         op6_byte_bpe,
