@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, ngram_join, packing, quality_rules, substring_dedup, token_counts
-from tidemark.llm.store import new_path
+from tidemark.llm import byte_bpe, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from tidemark.llm.store import crc_mod, new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def _predicted(scores: DataFrame, threshold: float) -> DataFrame:
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return _predicted(toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as flat token files in the shared folder, then their counts from those files alone."""
     path = new_path(spark, "flat-tokens")
@@ -41,6 +51,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids_csv", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(quality_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), quality_classifier.THRESHOLD)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(_read(spark, sf_dir, "documents"))
 
@@ -50,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op2_quality_rules,
+        op3_toxicity,
         op4_token_counts,
         op5_substring_dedup,
         op6_byte_bpe,
+        op9_quality_classifier,
         op10_ngram_jaccard_join,
     )
 }
