@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from tidemark.llm import byte_bpe, hnsw_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 from tidemark.llm.store import crc_mod, new_path
 
 
@@ -51,6 +51,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids_csv", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.deduplicate(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), quality_classifier.THRESHOLD)
 
@@ -68,12 +72,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_counts,
         op5_substring_dedup,
         op6_byte_bpe,
+        op7_hnsw_dedup,
         op9_quality_classifier,
         op10_ngram_jaccard_join,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_hnsw_dedup": r"""
+WITH RECURSIVE e AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (
+    SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e
+), link AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reach AS (
+    SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u
+), comp AS (
+    SELECT u, min(v) AS component_id FROM reach GROUP BY u
+), cnt AS (
+    SELECT u, count(*) AS n FROM link GROUP BY u
+)
+SELECT vec_id, coalesce(cnt.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.u = vec_id LEFT JOIN cnt ON cnt.u = vec_id
+""",
     "op5_substring_dedup": r"""
 WITH w AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
