@@ -7,11 +7,12 @@ two shards.  A shard's graph has layers: each layer holds a share of the nodes
 below, and a search descends from the top.  Queries walk the graph in lockstep, in
 numpy.
 
-A query's beam is widened as long as its worst entry is still above the threshold,
-and the whole shard's beam as long as an audit - a hash sample of queries against
-every vector of the shard - finds less than RECALL of the true neighbours; if the
-beam reaches the shard's size the search is exact.  Links are verified by cosine in
-double precision, and components are united from links by star rounds.
+A shard's beam is widened as long as an audit - evenly spaced queries in hash order,
+each against every vector of the shard - finds less than RECALL of the true links; a
+beam as wide as the shard is exact.  Near entries of beams give classes; within a
+class all cosines are computed in double precision, in blocks, for the number of
+links of each vector, and only links that span the class are emitted.  Components
+are united from those by star rounds.
 
 Defined cases: vectors that are null or zero or hold null or non-finite components,
 and rows with a null label, link with nothing; vectors of different lengths do not
@@ -21,6 +22,8 @@ vec_id are nodes of their own with that id; an empty table gives an empty result
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,12 +34,13 @@ from tidemark.llm.store import materialise
 
 THRESHOLD = 0.98
 SHARD = 20_000
-RECALL = 0.99
-AUDITS = 64
+RECALL = 0.999
+AUDITS = 256
 NEIGHBOURS = 12
 LAYER_SHARE = 16
-BEAM = 16
-_SLACK = 1e-6
+BEAM = 32
+#: Beam entries this far below the threshold still join classes, within which all is verified.
+SLACK = 0.015
 
 
 class Graph:
@@ -184,42 +188,103 @@ def _merge(ids, sims, opened, new, new_sims, beam):
     return ids, sims, opened
 
 
-def near_pairs(nodes: np.ndarray, queries: np.ndarray, threshold: float, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) numbers of pairs with cosine >= threshold; both sides are raw vectors in double precision."""
+def _classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component labels (smallest member) of n nodes under links a-b."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+@dataclass
+class Links:
+    """What a shard found: the weight linked to each query, links that span its classes, and how many of an audit's links it found."""
+
+    near: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    recall: float
+
+
+def find_links(nodes: np.ndarray, queries: np.ndarray, weights: np.ndarray, same: np.ndarray, threshold: float, recall: float = RECALL) -> Links:
+    """Links of queries with nodes (raw vectors in double precision); same: each query's own node, or -1.
+
+    The walk gives classes of vectors that near entries connect; within a class, every
+    query is held against every node in double precision, block by block, so that a
+    large group is counted in full without its pairs being listed.
+    """
     unit = nodes / np.linalg.norm(nodes, axis=1, keepdims=True)
     qunit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    n = len(nodes)
+    n, m = len(nodes), len(queries)
     graph = Graph(unit)
-    step = max(1, len(queries) // AUDITS)
-    audit = np.arange(0, len(queries), step)
-    truth = [np.flatnonzero(row >= threshold - _SLACK) for row in qunit[audit] @ unit.T]
-    wanted = sum(map(len, truth))
+    audit = np.arange(0, m, max(1, m // AUDITS))
+    truth = np.array([weights[(row >= threshold) & (np.arange(n) != same[i])].sum() for i, row in zip(audit, _cosines(queries[audit], nodes), strict=True)])
     beam = BEAM
     while True:
-        found = _wide(graph, qunit, audit, min(beam, n), threshold)
-        hit = sum(len(np.intersect1d(t, f)) for t, f in zip(truth, found, strict=True))
-        if beam >= n or hit >= recall * wanted:
-            break
+        ids, sims = graph.search(qunit, min(beam, n))
+        rows, cols = np.nonzero((ids >= 0) & (sims >= threshold - SLACK))
+        label = _classes(m + n, np.concatenate((rows, np.flatnonzero(same >= 0))), np.concatenate((m + ids[rows, cols], m + same[same >= 0])))
+        out = _verify(nodes, queries, weights, same, label, threshold)
+        found, wanted = out.near[audit].sum(), truth.sum()
+        out.recall = found / wanted if wanted else 1.0
+        if out.recall >= recall or beam >= n:
+            return out
         beam *= 2
-    per = _wide(graph, qunit, np.arange(len(queries)), min(beam, n), threshold)
-    size = np.array([len(p) for p in per], np.int64)
-    a, b = np.repeat(np.arange(len(queries)), size), np.concatenate(per) if len(per) else np.zeros(0, np.int64)
-    cosine = np.einsum("ij,ij->i", queries[a], nodes[b]) / (np.sqrt(np.einsum("ij,ij->i", queries, queries))[a] * np.sqrt(np.einsum("ij,ij->i", nodes, nodes))[b])
-    return a[cosine >= threshold], b[cosine >= threshold]
-
-
-def _wide(graph: Graph, q: np.ndarray, of: np.ndarray, beam: int, threshold: float) -> list[np.ndarray]:
-    """Neighbours above the threshold; a beam that is full of them is widened for its query."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(of)
-    at, n = np.arange(len(of)), len(graph.x)
-    while len(at):
-        ids, sims = graph.search(q[of[at]], beam)
-        near = (sims >= threshold - 1e-4) & (ids >= 0)
-        full = near[:, -1] & (beam < n)
-        for k in np.flatnonzero(~full).tolist():
-            out[at[k]] = ids[k][near[k]]
-        at, beam = at[full], min(4 * beam, n)
-    return out
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a @ b.T) / (np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :])
+
+
+def _verify(nodes, queries, weights, same, label, threshold, block: int = 1024) -> Links:
+    m, n = len(queries), len(nodes)
+    near, a, b = np.zeros(m, np.int64), [], []
+    order = np.argsort(label, kind="stable")
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(label[order])) + 1, [m + n]))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        members = order[lo:hi]
+        q, c = members[members < m], members[members >= m] - m
+        if not len(q) or not len(c) or (len(q) == 1 and len(c) == 1 and same[q[0]] == c[0]):
+            continue
+        # spanning links: each round joins a query's class with that of the nodes it links with
+        name = {int(x): k for k, x in enumerate(c)}
+        class_of, changed, first = np.arange(len(c)), True, True
+        own = np.array([name.get(int(x), -1) for x in same[q]])
+        while changed:
+            changed = False
+            for k in range(0, len(q), block):
+                part = q[k : k + block]
+                hit = _cosines(queries[part], nodes[c]) >= threshold
+                mine = own[k : k + block]
+                at = np.flatnonzero(mine >= 0)
+                hit[at, mine[at]] = False
+                if first:
+                    near[part] += hit @ weights[c]
+                some = np.flatnonzero(hit.any(1))
+                if first and len(some):
+                    to = hit[some].argmax(1)
+                    a.append(part[some])
+                    b.append(c[to])
+                hit[at, mine[at]] = True
+                low = np.where(hit, class_of[None, :], len(c)).min(1)
+                for r in np.flatnonzero(low < len(c)).tolist():
+                    cols = np.flatnonzero(hit[r])
+                    other = cols[class_of[cols] != low[r]]
+                    if len(other):
+                        changed = True
+                        if not first or len(np.unique(class_of[other])) > 0:
+                            for x in np.unique(class_of[other]).tolist():
+                                a.append(part[r : r + 1])
+                                b.append(c[other[class_of[other] == x][:1]])
+                                class_of[class_of == x] = low[r]
+            first = False
+    none = np.zeros(0, np.int64)
+    return Links(near, np.concatenate(a) if a else none, np.concatenate(b) if b else none, 1.0)
 
 
 def deduplicate(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -234,24 +299,26 @@ def deduplicate(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int
     shards = nodes.groupBy("_group").agg(F.ceil(F.count("*") / shard).cast("int").alias("_shards"))
     dealt = nodes.join(shards, "_group").withColumn("_at", F.pmod("_node", F.col("_shards")).cast("int"))
     # a node in its own shard, and as a query in every shard of its label
-    both = dealt.select("_group", F.col("_at").alias("_shard"), "_node", "_v", F.lit(True).alias("_own"))
-    both = both.union(dealt.select("_group", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"), "_node", "_v", (F.lit(False)).alias("_own")).join(dealt.select("_node", F.col("_at")), "_node").where("_shard != _at").drop("_at").select("_group", "_shard", "_node", "_v", "_own"))
+    both = dealt.select("_group", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"), "_at", "_node", "_v", "_weight")
+    both = both.withColumn("_own", F.col("_shard") == F.col("_at")).drop("_at")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_node")
         x = np.array(pdf["_v"].tolist(), np.float64)
         own = pdf["_own"].to_numpy()
-        name = pdf["_node"].to_numpy()
-        a, b = near_pairs(x[own], x, threshold)
-        u, w = name[a], name[own][b]
-        keep = u != w
-        return pd.DataFrame({"u": np.minimum(u[keep], w[keep]), "v": np.maximum(u[keep], w[keep])})
-
-    links = materialise(both.groupBy("_group", "_shard").applyInPandas(run, "u long, v long").distinct(), "vector-links")
-    ends = links.union(links.select("v", "u"))
-    weights = nodes.select(F.col("_node").alias("v"), "_weight")
-    direct = ends.join(weights, "v").groupBy("u").agg(F.sum("_weight").alias("_near"))
-    classes = connected_components(links)
+        name, weight = pdf["_node"].to_numpy(), pdf["_weight"].to_numpy()
+        if not own.any():
+            return pd.DataFrame({"u": [], "v": [], "near": []})
+        same = np.where(own, np.cumsum(own) - 1, -1)
+        got = find_links(x[own], x, weight[own], same, threshold)
+        some = np.flatnonzero(got.near)
+        u, w = name[got.a], name[own][got.b]
+        # counts have no second end
+        return pd.DataFrame({"u": np.concatenate((name[some], u)), "v": np.concatenate((name[some], w)), "near": np.concatenate((got.near[some], np.zeros(len(u), np.int64)))})
+
+    found = materialise(both.groupBy("_group", "_shard").applyInPandas(run, "u long, v long, near long"), "vector-links")
+    direct = found.where("near > 0").groupBy("u").agg(F.sum("near").alias("_near"))
+    classes = connected_components(found.where("near = 0").select("u", "v"))
     placed = nodes.select("_node", "_first", "_weight").join(classes.select(F.col("id").alias("_node"), "component"), "_node", "left").join(direct.select(F.col("u").alias("_node"), "_near"), "_node", "left")
     placed = placed.withColumn("_class", F.coalesce("component", "_node")).withColumn("_links", F.coalesce("_near", F.lit(0)) + F.col("_weight") - 1)
     least = placed.groupBy("_class").agg(F.min("_first").alias("_least"))

@@ -91,8 +91,8 @@ def read_blocks(spark: SparkSession, path: str, *, block: int = BLOCK, halo: int
     Spark reads a file as one value, so files are limited to 2 GB; token shards are cut smaller than that.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
-    at = F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / (2 * block)).cast("int") - 1))
-    return files.select(F.col("path").alias("file"), F.expr("length div 2").alias("n_tokens"), "content", at.alias("block_no")).select("file", "block_no", "n_tokens", F.col("content").substr(F.col("block_no") * (2 * block) + 1, F.lit(2 * (block + halo))).alias("payload"))
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.col("length") / (2 * block)).cast("int") - 1), lambda i: F.col("content").substr(i * (2 * block) + 1, F.lit(2 * (block + halo))))
+    return files.select(F.col("path").alias("file"), F.expr("length div 2").alias("n_tokens"), F.posexplode(cut).alias("block_no", "payload")).select("file", "block_no", "n_tokens", "payload")
 
 
 def _scan(block: int, separator: int, header: int):
