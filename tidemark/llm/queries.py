@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, hnsw_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from tidemark.llm import byte_bpe, hnsw_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 from tidemark.llm.store import crc_mod, new_path
 
 
@@ -55,6 +55,10 @@ def op7_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw_dedup.deduplicate(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), quality_classifier.THRESHOLD)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_substring_dedup,
         op6_byte_bpe,
         op7_hnsw_dedup,
+        op8_lm_scoring,
         op9_quality_classifier,
         op10_ngram_jaccard_join,
     )
