@@ -2,17 +2,19 @@
 
 The global n-gram order runs from rare to common (by a fixed-size sketch of
 document counts over all rows) and then by hash.  A document's rarest n-grams, its
-prefix, must share LEAST entries with that of every document it links with; lists
-of documents by prefix n-gram give candidates.  For the candidates the global order
+prefix, must share an entry with that of every document it links with; lists of
+documents by prefix n-gram give candidates.  A document with more n-grams of its own
+than a link allows is in no list.  For the candidates the global order
 is cut into FRAGMENTS ranges: each document's set becomes one segment for each
 range, overlaps are counted range by range, and the partial counts are summed for
 each pair, which makes the test exact.
 
 Only classes are wanted, so pairs within one class need no second link.  Exact
-copies are one candidate.  In a first round each list's smallest member is paired
-with the others, so a group of near copies of any size gives a number of pairs in
-proportion to its size; components of the links are formed.  In a second round all
-pairs of a list whose ends are still in different components are tested, so that no
+copies are one candidate.  In a first round each list's most central member is
+paired with the others, so a group of near copies of any size gives a number of
+pairs in proportion to its size; components of the links are formed.  In a second
+round the pairs of a list whose ends are still in different components are tested,
+unless the number of lists they can have in common rules a link out, so that no
 link between classes is lost.
 
 Defined cases: null text and texts without a word have no n-gram and link with
@@ -39,8 +41,6 @@ from tidemark.llm.store import materialise
 
 N = 5
 PERCENT = 80
-#: Prefix entries that linked documents share at least (fewer where their overlap must be smaller).
-LEAST = 8
 FRAGMENTS = 8
 #: The sketch has 2**SKETCH_BITS counters, whatever the size of the input.
 SKETCH_BITS = 22
@@ -113,7 +113,7 @@ def _order(grams: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
     return (levels[_bucket(grams, bits)].astype(np.uint64) << np.uint64(56)) | (K.mix64(grams) >> np.uint64(8))
 
 
-def _prefixes(n: int, percent: int, least: int, levels, bits: int):
+def _prefixes(n: int, percent: int, levels, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         for b in batches:
@@ -124,7 +124,7 @@ def _prefixes(n: int, percent: int, least: int, levels, bits: int):
                 grams = grams[order]
                 size = np.bincount(doc, minlength=c.hi - c.lo)
                 first = np.cumsum(size) - size
-                length = np.minimum(size, size - (size * percent + 99) // 100 + least)
+                length = np.minimum(size, size - (size * percent + 99) // 100 + 1)
                 at = K.ragged(first, length)
                 of = np.repeat(np.arange(len(size)), length)
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(grams[at])), pa.array(keys[c.lo + of]), pa.array(size[of].astype(np.int32))], ["_h", "_key", "_n"])
@@ -138,18 +138,16 @@ def _segments(n: int, cuts: np.ndarray, levels, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
             for c in K.chunks(b.column(1)):
                 doc, grams = ngram_sets(c, n)
-                if not len(doc):
-                    continue
                 part = np.searchsorted(cuts, _order(grams, table, bits), "right")
-                group = doc * (len(cuts) + 1) + part
+                k = len(cuts) + 1
+                group = doc * k + part
                 order = np.argsort(group, kind="stable")
-                group = group[order]
-                edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(group)).astype(np.int32)), pa.array(K.signed(grams[order])))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[c.lo + group[edge] // (len(cuts) + 1)]), pa.array((group[edge] % (len(cuts) + 1)).astype(np.int32)), lists], ["_key", "_part", "_grams"])
+                edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=(c.hi - c.lo) * k))))
+                inner = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(K.signed(grams[order])))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (c.hi - c.lo) * k + 1, k, dtype=np.int32)), inner)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, c.hi - c.lo), lists], ["_key", "_grams"])
 
     return run
 
@@ -180,10 +178,13 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = plain.select("_id", "_key", "_text").repartition("_key")
     head = plain.where("_id is not null and _md5 is not null").groupBy("_md5").agg(F.min(F.struct("_id", "_key")).alias("s")).select("_md5", F.col("s._key").alias("_head"))
     firsts = head.select(F.col("_head").alias("_key"))
-    found = rows.join(firsts.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_prefixes(n, percent, LEAST, levels, sketch_bits), "_h long, _key long, _n int")
+    found = rows.join(firsts.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_prefixes(n, percent, levels, sketch_bits), "_h long, _key long, _n int")
     over = Window.partitionBy("_h")
-    lists = found.repartition("_h").withColumn("_pivot", F.min(F.struct("_key", "_n")).over(over)).withColumn("_last", F.max("_key").over(over)).where("_pivot._key < _last")
-    lists = materialise(lists.select("_h", "_key", "_n", F.col("_pivot._key").alias("_pivot"), F.col("_pivot._n").alias("_pivot_n")), "ngram-lists")
+    lists = found.repartition("_h").withColumn("_first", F.min("_key").over(over)).withColumn("_last", F.max("_key").over(over)).where("_first < _last")
+    lists = materialise(lists.select("_h", "_key", "_n"), "ngram-lists")
+    # How much of a document's prefix others share: the text that copies were made from has no n-gram of its own.
+    central = lists.groupBy("_key", "_n").agg(F.count("*").alias("k")).select("_key", (F.col("k") * 1000 / (F.col("_n") * (100 - percent) / 100 + 1)).cast("int").alias("_central"))
+    lists = materialise(lists.join(central, "_key"), "ngram-lists")
 
     def alike(a: str, b: str) -> Column:
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
@@ -191,27 +192,41 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) whose overlaps, counted fragment by fragment and summed, reach the similarity."""
         ends = pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).distinct()
-        parts = rows.join(ends.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_segments(n, cuts, levels, sketch_bits), "_key long, _part int, _grams array<long>")
+        parts = rows.join(ends.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_segments(n, cuts, levels, sketch_bits), "_key long, _grams array<array<long>>")
         parts = materialise(parts, "ngram-segments")
-        left = parts.select(F.col("_key").alias("a"), "_part", F.col("_grams").alias("_ga"))
-        right = parts.select(F.col("_key").alias("b"), "_part", F.col("_grams").alias("_gb"))
-        both = pairs.join(right, "b").join(left, ["a", "_part"])
-        shared = both.select("a", "b", "na", "nb", F.size(F.array_intersect("_ga", "_gb")).cast("long").alias("k")).groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+        left = parts.select(F.col("_key").alias("a"), F.col("_grams").alias("_ga"))
+        right = parts.select(F.col("_key").alias("b"), F.col("_grams").alias("_gb"))
+        partial = F.zip_with("_ga", "_gb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+        shared = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0).cast("long"), lambda t, k: t + k).alias("k"))
         return shared.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
-    stars = lists.where(F.col("_key") != F.col("_pivot")).where(alike("_n", "_pivot_n")).select(F.col("_pivot").alias("a"), F.col("_key").alias("b"), F.col("_pivot_n").cast("long").alias("na"), F.col("_n").cast("long").alias("nb"))
-    stars = materialise(stars.distinct(), "ngram-stars")
+    def pairs_of(df: DataFrame) -> DataFrame:
+        return df.select(F.least("_key", "_p._key").alias("a"), F.greatest("_key", "_p._key").alias("b"), F.when(F.col("_key") < F.col("_p._key"), F.col("_n")).otherwise(F.col("_p._n")).cast("long").alias("na"), F.when(F.col("_key") < F.col("_p._key"), F.col("_p._n")).otherwise(F.col("_n")).cast("long").alias("nb")).distinct()
+
+    # Stars: each list's most central member with the others.
+    pivot = F.max(F.struct("_central", "_key", "_n")).over(over)
+    stars = materialise(pairs_of(lists.repartition("_h").withColumn("_p", pivot).where(F.col("_key") != F.col("_p._key")).where(alike("_n", "_p._n"))), "ngram-stars")
     links = materialise(verified(stars), "ngram-links")
     classes = connected_components(links.toDF("u", "v"))
 
-    # What is left: pairs of one list whose ends are in different components.
-    placed = lists.select("_h", "_key", "_n").join(classes.select(F.col("id").alias("_key"), "component"), "_key", "left").withColumn("_c", F.coalesce("component", "_key"))
-    mixed = placed.repartition("_h").withColumn("_c1", F.min("_c").over(over)).withColumn("_c2", F.max("_c").over(over)).where("_c1 < _c2").select("_h", "_key", "_n", "_c")
-    mixed = materialise(mixed, "ngram-mixed")
-    one = mixed.select("_h", F.col("_key").alias("a"), F.col("_n").cast("long").alias("na"), F.col("_c").alias("ca"))
-    two = mixed.select("_h", F.col("_key").alias("b"), F.col("_n").cast("long").alias("nb"), F.col("_c").alias("cb"))
-    need = F.ceil(F.greatest("na", "nb") * (percent / 100.0) - 1e-9)
-    rest = one.join(two, "_h").where("a < b and ca != cb").where(alike("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).where(F.col("k") >= F.least(F.lit(LEAST), need))
+    # Lists whose members are still in different components.
+    placed = lists.join(classes.select(F.col("id").alias("_key"), "component"), "_key", "left").withColumn("_c", F.coalesce("component", "_key"))
+    placed = placed.repartition("_h").withColumn("_c1", F.min("_c").over(over)).withColumn("_c2", F.max("_c").over(over)).where("_c1 < _c2").select("_h", "_key", "_n", "_c")
+    placed = materialise(placed, "ngram-mixed")
+
+    # What is left: all pairs of one list whose ends are in different components.
+    # Common n-grams are in both prefixes or behind the prefix that ends first, so `need` of a pair's lists are common;
+    # in an order of lists from small to large, the first common one leaves need - 1 others behind it on both sides.
+    size = placed.groupBy("_h").agg(F.count("*").alias("_size"))
+    mine = Window.partitionBy("_key")
+    placed = placed.join(size, "_h").withColumn("_left", F.count("*").over(mine) - F.row_number().over(mine.orderBy("_size", "_h")) + 1)
+    placed = materialise(placed, "ngram-mixed")
+    one = placed.select("_h", F.col("_key").alias("a"), F.col("_n").cast("long").alias("na"), F.col("_c").alias("ca"), F.col("_left").alias("la"))
+    two = placed.select("_h", F.col("_key").alias("b"), F.col("_n").cast("long").alias("nb"), F.col("_c").alias("cb"), F.col("_left").alias("lb"))
+    behind = F.floor((F.greatest("na", "nb") * percent + 99) / 100) - 1
+    need = F.ceil((F.col("na") + F.col("nb")) * (percent / (100.0 + percent)) - 1e-9) - behind
+    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("na", "nb") & (F.least("la", "lb") >= need)
+    rest = one.join(two, (one["_h"] == two["_h"]) & near).select("a", "b", "na", "nb").distinct()
     rest = materialise(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "ngram-rest")
     if not rest.isEmpty():
         more = materialise(verified(rest), "ngram-links")
