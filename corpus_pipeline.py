@@ -1,18 +1,81 @@
-"""A training-data pipeline over `documents`: each stage keeps the columns of documents, the last packs."""
+"""A training-data pipeline over `documents`: each stage keeps the columns of documents, the last packs.
+
+Every stage works on all that its predecessor kept, and judges that alone. Verdicts are
+matched by doc_id, so rows without one go in the first stage.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import ngram_join, packing, quality_rules, substring_dedup, toxicity
+from tidemark.llm.store import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among ids; texts are shuffled once, ids are hashed."""
+    return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the trees reject."""
+    verdicts = quality_rules.apply_rules(docs, quality_rules.train(docs, _labels(spark, sf_dir)))
+    return _keep(docs, verdicts.where("kept"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold."""
+    scores = toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+    return _keep(docs, scores.where(F.col("score") < toxicity.THRESHOLD))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near copies."""
+    classes = ngram_join.join_classes(docs)
+    return _keep(docs, classes.where("doc_id = component_id"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds; a text that loses nothing stays as it is, one that loses all goes."""
+    found = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text")
+    both = docs.join(found.hint("shuffle_hash"), "doc_id", "left").where("n_removed is null or n_removed < n_words")
+    text = F.coalesce("kept_text", "text")
+    return both.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences."""
+    return packing.pack_documents(docs)
+
 
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("toxicity", toxic),
+    ("ngram_jaccard_join", near_copies),
+    ("substring_dedup", substrings),
+    ("best_fit_packing", pack),
+]
 
 #: Learned models and the packing search have no SQL form.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over `documents`, each written as Parquet in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
