@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that define QUERIES (name -> function) and ORACLE_SQL (name -> SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("tidemark.plans.coding", "tidemark.plans.texts")
 
 
 def _gather(attribute: str) -> dict:
