@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,25 @@ def anchor_positions(g: np.ndarray, w: K.Words, k: int, window: int) -> np.ndarr
     return pos[np.concatenate(([True], pos[1:] != pos[:-1]))]
 
 
+def _tags(g: np.ndarray, w: K.Words) -> np.ndarray:
+    """Window hashes made different for different documents; those that leave their document are of no use."""
+    return K.mix64(g ^ K.mix64(w.doc[: len(g)].astype(np.uint64) + np.uint64(0x5DE)))
+
+
+def _once(tags: np.ndarray) -> np.ndarray:
+    """Places of the first of equal tags."""
+    return np.sort(np.unique(tags, return_index=True)[1])
+
+
+def _all_of(at: np.ndarray, g: np.ndarray, w: K.Words) -> np.ndarray:
+    """True at every place of a document whose window equals one at the given places."""
+    out = np.zeros(len(w.starts) + 1, bool)
+    if len(at):
+        tags = _tags(g, w)
+        out[: len(g)] = np.isin(tags, tags[at])
+    return out
+
+
 def _anchors(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,6 +89,9 @@ def _anchors(k: int, window: int):
                 h = K.hash_spans(c.data, w.starts, w.ends)
                 g = K.ngrams(h, k)
                 pos = anchor_positions(g, w, k, window)
+                if len(pos):
+                    # of a window that recurs in its document the first is enough
+                    pos = pos[_once(_tags(g, w)[pos])]
                 doc = np.searchsorted(w.offsets, pos, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(g[pos])), pa.array(ids[c.lo + doc]), pa.array(keys[c.lo + doc]), pa.array((pos - w.offsets[doc]).astype(np.int32))], ["_h", "_id", "_key", "_pos"])
 
@@ -94,13 +117,12 @@ def _windows(k: int, length: int, window: int, first: bool):
             for c in K.chunks(b.column(2)):
                 w = K.split_words(c)
                 n = len(w.starts)
-                live = np.zeros(n + 1, bool)
-                live[values[bounds[c.lo] : bounds[c.hi]] + np.repeat(w.offsets[:-1], lengths[c.lo : c.hi])] = True
                 h = K.hash_spans(c.data, w.starts, w.ends)
+                g = K.ngrams(h, k)
+                live = _all_of(values[bounds[c.lo] : bounds[c.hi]] + np.repeat(w.offsets[:-1], lengths[c.lo : c.hi]), g, w)
                 at = K.window_starts(w, length)
                 if first:
                     # within a window of full length whose anchor survived
-                    g = K.ngrams(h, k)
                     full = K.window_starts(w, window)
                     span = window - k + 1
                     low = g[full] if len(full) else np.zeros(0, np.uint64)
@@ -118,7 +140,9 @@ def _windows(k: int, length: int, window: int, first: bool):
                 if not len(at):
                     continue
                 h2 = K.hash_spans(c.data, w.starts, w.ends, 1)
-                one, two = K.ngrams(h, length)[at], K.ngrams(h2, length)[at]
+                grams = K.ngrams(h, length)
+                at = at[_once(_tags(grams, w)[at])]
+                one, two = grams[at], K.ngrams(h2, length)[at]
                 doc = np.searchsorted(w.offsets, at, "right") - 1
                 pos = (at - w.offsets[doc]).astype(np.uint64)
                 packed = (two & np.uint64(0xFFFFFFFF00000000)) | pos
@@ -127,7 +151,9 @@ def _windows(k: int, length: int, window: int, first: bool):
     return run
 
 
-def _remove(window: int):
+def _remove(window: int, verbatim: bool, carried: list[str]):
+    names = ["doc_id", "n_words", "n_removed", "kept_text", *carried]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = np.asarray(b.column(2).fill_null(False))
@@ -136,17 +162,24 @@ def _remove(window: int):
             for c in K.chunks(b.column(1)):
                 w = K.split_words(c)
                 n = len(w.starts)
-                edge = np.zeros(n + 1, np.int64)
                 at = values[bounds[c.lo] : bounds[c.hi]] + np.repeat(w.offsets[:-1], lengths[c.lo : c.hi])
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                gone = np.cumsum(edge)[:n] > 0
+                gone = np.zeros(n, bool)
+                if len(at):
+                    hit = np.flatnonzero(_all_of(at, K.ngrams(K.hash_spans(c.data, w.starts, w.ends), window), w))
+                    hit = hit[hit + window <= w.doc_end[hit]]
+                    edge = np.zeros(n + 1, np.int64)
+                    np.add.at(edge, hit, 1)
+                    np.add.at(edge, hit + window, -1)
+                    gone = np.cumsum(edge)[:n] > 0
                 counts = w.counts
                 gone |= np.repeat(whole[c.lo : c.hi] & (counts >= window), counts)
                 removed = np.add.reduceat(np.append(gone, False).astype(np.int64), w.offsets[:-1]) * (counts > 0)
                 keep = ~gone
                 kept = K.join_words(c, w.starts[keep], w.ends[keep], np.concatenate(([0], np.cumsum(counts - removed))))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, c.hi - c.lo), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)), kept], ["doc_id", "n_words", "n_removed", "kept_text"])
+                if verbatim:
+                    kept = pc.if_else(pa.array(removed == 0), b.column(1).slice(c.lo, c.hi - c.lo), kept)
+                rest = [b.column(4 + k).slice(c.lo, c.hi - c.lo) for k in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, c.hi - c.lo), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)), kept, *rest], names)
 
     return run
 
@@ -157,12 +190,15 @@ def _repeated(df: DataFrame, *key: str) -> DataFrame:
     return df.withColumn("_first", F.min("_id").over(over)).withColumn("_last", F.max("_id").over(over)).where("_first < _last")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (the kept words joined by one space), one row per row of docs."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, verbatim: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (the kept words joined by one space), one row per row of docs.
+
+    verbatim: a text that loses nothing stays as it is. carry: other columns of docs to pass through.
+    """
     if window < 2:
         raise ValueError("window must be two words or more")
     # One exchange of the texts, by row key, serves every pass.
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"), F.md5(F.col(text_col)).alias("_md5")).repartition("_key")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"), F.md5(F.col(text_col)).alias("_md5"), *(F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry))).repartition("_key")
     firsts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.md5(F.col(text_col)).alias("_m")).agg(F.min(F.struct(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)).alias("k"))).alias("s")).select(F.col("s.k").alias("_key"), F.lit(True).alias("_is_first"))
     marked = rows.join(firsts.hint("shuffle_hash"), "_key", "left")
     steps = levels(window)
@@ -185,4 +221,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     at = live.groupBy("_key").agg(F.collect_list("_pos").alias("_at"))
     # A later copy of a text; a text that recurs under its own first doc_id is no copy.
     out = marked.join(at.hint("shuffle_hash"), "_key", "left")
-    return out.select("_id", "_text", (F.col("_is_first").isNull() & F.col("_id").isNotNull()).alias("_whole"), "_at").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    kinds = dict(docs.dtypes)
+    schema = "doc_id long, n_words long, n_removed long, kept_text string" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return out.select("_id", "_text", (F.col("_is_first").isNull() & F.col("_id").isNotNull()).alias("_whole"), "_at", *(f"_carry{k}" for k in range(len(carry)))).mapInArrow(_remove(window, verbatim, list(carry)), schema)
