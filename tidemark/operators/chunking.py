@@ -23,6 +23,16 @@ def document_windows(docs: DataFrame, tokens: Column, size: int, *, id_col: str
     return cut.select("doc_idx", F.size("_w").alias("total_chunks"), F.posexplode("_w").alias("chunk_idx", "token_ids"))
 
 
+def text_windows(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_idx, chunk_idx, total_chunks, piece: windows of characters, cut from the text without an array of characters."""
+    if size < 1:
+        raise ValueError("the window must hold a character")
+    rows = docs.select(F.col(id_col).alias("doc_idx"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = rows.withColumn("total_chunks", F.greatest(F.ceil(F.char_length("_t") / size).cast("int"), F.lit(1)))
+    cut = F.transform(F.sequence(F.lit(0), F.col("total_chunks") - 1), lambda i: F.substring(F.col("_t"), i * size + 1, F.lit(size)))
+    return rows.select("doc_idx", "total_chunks", F.posexplode(cut).alias("chunk_idx", "piece"))
+
+
 def word_chunks(docs: DataFrame, size: int, overlap: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pos, chunk: windows of size words, each overlapping the one before; the last ones may lie within it."""
     if size <= 0 or not 0 <= overlap < size:

@@ -39,8 +39,8 @@ def chunk_text_fixed(spark, sf_dir):
 
 def chunk_docs_windows(spark, sf_dir):
     """Windows of at most 256 characters of each document."""
-    w = C.document_windows(_docs(spark, sf_dir), F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != ""), 256)
-    return w.select(F.col("doc_idx").cast("bigint"), F.col("chunk_idx").cast("bigint"), F.col("total_chunks").cast("bigint"), F.size("token_ids").cast("bigint").alias("n_tokens"), F.md5(F.array_join("token_ids", "")).alias("md5"))
+    w = C.text_windows(_docs(spark, sf_dir), 256)
+    return w.select("doc_idx", F.col("chunk_idx").cast("bigint"), F.col("total_chunks").cast("bigint"), F.char_length("piece").cast("bigint").alias("n_tokens"), F.md5("piece").alias("md5"))
 
 
 def chunk_words_overlap(spark, sf_dir):

@@ -10,22 +10,15 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "tiff")
 AUDIO = ("wav", "flac", "mp3", "ogg")
 
-GK = T.StructType.fromDDL("phase int, curr struct<tokens:long,bytes:long,bits_pre:double,bits_post:double,bits_base:double>, next struct<tokens:long,bytes:long,bits_pre:double,bits_post:double>")
-BRANCH = T.StructType.fromDDL("phase int, ref_lr double, curr struct<tokens:long,bytes:long,bits_base:double>, next struct<tokens:long,bytes:long,bits_base:double>, candidates array<struct<lr:double,curr_bits:double,next_bits:double,nonfinite:boolean>>")
-ADJACENCY = T.StructType.fromDDL("phase int, boundary_k int, domain string, horizons array<int>, future_static_bits double, control_starts array<int>, curr_pre_bits double, curr_post_bits double, adj_pre array<double>, adj_post array<double>, ctrl_pre array<double>, ctrl_post array<double>")
-RESULT = T.StructType(
-    [
-        T.StructField("args", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("config", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("results", T.ArrayType(T.StructType.fromDDL("mode string, orig long, comp long, ratio double, bpb double, bpsp double, comp_s double, decomp_s double, chunk_lengths array<long>, chunk_bits array<long>").add("gk", T.ArrayType(GK)).add("branch", T.ArrayType(BRANCH)).add("adjacency", T.ArrayType(ADJACENCY)))),
-        T.StructField("_corrupt_record", T.StringType()),
-    ]
-)
+GK = "phase: int, curr: struct<tokens: long, bytes: long, bits_pre: double, bits_post: double, bits_base: double>, next: struct<tokens: long, bytes: long, bits_pre: double, bits_post: double>"
+BRANCH = "phase: int, ref_lr: double, curr: struct<tokens: long, bytes: long, bits_base: double>, next: struct<tokens: long, bytes: long, bits_base: double>, candidates: array<struct<lr: double, curr_bits: double, next_bits: double, nonfinite: boolean>>"
+ADJACENCY = "phase: int, boundary_k: int, domain: string, horizons: array<int>, future_static_bits: double, control_starts: array<int>, curr_pre_bits: double, curr_post_bits: double, adj_pre: array<double>, adj_post: array<double>, ctrl_pre: array<double>, ctrl_post: array<double>"
+MODES = f"array<struct<mode: string, orig: long, comp: long, ratio: double, bpb: double, bpsp: double, comp_s: double, decomp_s: double, chunk_lengths: array<long>, chunk_bits: array<long>, gk: array<struct<{GK}>>, branch: array<struct<{BRANCH}>>, adjacency: array<struct<{ADJACENCY}>>>>"
+RESULT = f"args map<string, string>, config map<string, string>, results {MODES}, _corrupt_record string"
 
 _registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -143,7 +136,7 @@ def run_results(spark: SparkSession, path: str) -> DataFrame:
 
 def invalid_results(results: DataFrame) -> DataFrame:
     """run_id, problem of results that no analysis can use."""
-    modes = F.size(F.coalesce("results", F.array().cast(RESULT["results"].dataType)))
+    modes = F.size(F.coalesce("results", F.array().cast(MODES)))
     bad = F.when(F.col("corrupt").isNotNull(), "not JSON").when(modes == 0, "no results").when(F.exists("results", lambda r: r["chunk_bits"].isNull()), "no record of chunks").when(F.exists("results", lambda r: F.size(r["chunk_bits"]) != F.size(r["chunk_lengths"])), "records of different lengths").when(F.size(F.array_distinct(F.transform("results", lambda r: r["chunk_lengths"]))) > 1, "layouts differ between modes")
     return results.select("run_id", bad.alias("problem")).where("problem is not null")
 
