@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`: each stage keeps the columns of documents, the last packs.
 
-Every stage works on all that its predecessor kept, and judges that alone. Verdicts are
-matched by doc_id, so rows without one go in the first stage.
+Every stage works on all that its predecessor kept, and judges that alone. Rows that
+share a doc_id are judged one by one, but go or stay together as near copies.
 """
 
 from __future__ import annotations
@@ -23,35 +23,30 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids; texts are shuffled once, ids are hashed."""
-    return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the trees reject."""
-    verdicts = quality_rules.apply_rules(docs, quality_rules.train(docs, _labels(spark, sf_dir)))
-    return _keep(docs, verdicts.where("kept"))
+    verdicts = quality_rules.apply_rules(docs, quality_rules.train(docs, _labels(spark, sf_dir)), carry=COLUMNS[1:])
+    return verdicts.where("kept").select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold."""
-    scores = toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
-    return _keep(docs, scores.where(F.col("score") < toxicity.THRESHOLD))
+    scores = toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)), carry=COLUMNS[1:])
+    return scores.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies."""
-    classes = ngram_join.join_classes(docs)
-    return _keep(docs, classes.where("doc_id = component_id"))
+    heads = ngram_join.join_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(heads.hint("shuffle_hash"), "doc_id", "left_semi")
+    # rows without an id are in no class
+    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds; a text that loses nothing stays as it is, one that loses all goes."""
-    found = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text")
-    both = docs.join(found.hint("shuffle_hash"), "doc_id", "left").where("n_removed is null or n_removed < n_words")
-    text = F.coalesce("kept_text", "text")
-    return both.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+    left = substring_dedup.remove_repeats(docs, verbatim=True, carry=("lang", "source")).where("n_removed = 0 or n_removed < n_words")
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

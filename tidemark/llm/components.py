@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import materialise
+from tidemark.llm.store import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,12 +20,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of every node of edges (u long, v long)."""
-    edges = materialise(edges.where("u != v").distinct(), "cc")
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, component (the smallest id reachable) of every node of edges (u long, v long); reads tables of the scratch."""
+    edges = scratch.save(edges.where("u != v").distinct(), "cc")
     seen = None
     while True:
-        edges = materialise(_star(_star(edges, True), False), "cc")
+        edges = scratch.save(_star(_star(edges, True), False), "cc")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
         if now == seen or not now[0]:
             break

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import materialise
+from tidemark.llm.store import Scratch, materialise
 
 THRESHOLD = 0.98
 SHARD = 20_000
@@ -295,7 +295,8 @@ def deduplicate(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int
     # -0.0 and 0.0 are one value
     rows = rows.withColumn("_v", F.transform("_v", lambda x: x + F.lit(0.0))).withColumn("_node", F.xxhash64("_label", F.concat_ws(",", F.col("_v").cast("array<string>"))))
     nodes = rows.where("_good").groupBy("_node").agg(F.min("_id").alias("_first"), F.count("*").alias("_weight"), F.any_value("_label").alias("_label"), F.any_value("_v").alias("_v"))
-    nodes = materialise(nodes.withColumn("_group", F.concat_ws("/", "_label", F.size("_v").cast("string"))), "vector-nodes")
+    scratch = Scratch(vectors.sparkSession)
+    nodes = scratch.save(nodes.withColumn("_group", F.concat_ws("/", "_label", F.size("_v").cast("string"))), "vector-nodes")
     shards = nodes.groupBy("_group").agg(F.ceil(F.count("*") / shard).cast("int").alias("_shards"))
     dealt = nodes.join(shards, "_group").withColumn("_at", F.pmod("_node", F.col("_shards")).cast("int"))
     # a node in its own shard, and as a query in every shard of its label
@@ -316,13 +317,14 @@ def deduplicate(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int
         # counts have no second end
         return pd.DataFrame({"u": np.concatenate((name[some], u)), "v": np.concatenate((name[some], w)), "near": np.concatenate((got.near[some], np.zeros(len(u), np.int64)))})
 
-    found = materialise(both.groupBy("_group", "_shard").applyInPandas(run, "u long, v long, near long"), "vector-links")
+    found = scratch.save(both.groupBy("_group", "_shard").applyInPandas(run, "u long, v long, near long"), "vector-links")
     direct = found.where("near > 0").groupBy("u").agg(F.sum("near").alias("_near"))
-    classes = connected_components(found.where("near = 0").select("u", "v"))
+    classes = connected_components(found.where("near = 0").select("u", "v"), scratch)
     placed = nodes.select("_node", "_first", "_weight").join(classes.select(F.col("id").alias("_node"), "component"), "_node", "left").join(direct.select(F.col("u").alias("_node"), "_near"), "_node", "left")
     placed = placed.withColumn("_class", F.coalesce("component", "_node")).withColumn("_links", F.coalesce("_near", F.lit(0)) + F.col("_weight") - 1)
     least = placed.groupBy("_class").agg(F.min("_first").alias("_least"))
-    known = placed.join(least, "_class").select("_node", "_links", "_least")
+    known = materialise(placed.join(least, "_class").select("_node", "_links", "_least"), "vector-classes")
+    scratch.drop()
     out = rows.select("_id", F.when(F.col("_good"), F.col("_node")).alias("_node")).join(known, "_node", "left")
     component = F.coalesce("_least", "_id")
     return out.select(F.col("_id").alias("vec_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))

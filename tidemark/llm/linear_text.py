@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.store import materialise
+from tidemark.llm.store import Passed, Scratch
 
 MAX_FEATURES = 40_000
 
@@ -136,7 +136,8 @@ def training_rows(sample: DataFrame, recipe: Recipe, *, max_features: int = MAX_
                     at = pa.array(c.lo + some)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.full(len(some), kind, np.int32)), lists], ["_id", "_y", "_kind", "_f"])
 
-    rows = materialise(sample.select("_id", "_y", "_text").mapInArrow(extract, "_id long, _y double, _kind int, _f array<long>"), "text-features")
+    scratch = Scratch(sample.sparkSession)
+    rows = scratch.save(sample.select("_id", "_y", "_text").mapInArrow(extract, "_id long, _y double, _kind int, _f array<long>"), "text-features")
     real = rows.where("_kind = 0")
     total = real.agg(F.sum("_y").alias("p"), F.count("*").alias("n")).first()
     pos, neg = float(total["p"] or 0), float(total["n"] - (total["p"] or 0))
@@ -157,6 +158,7 @@ def training_rows(sample: DataFrame, recipe: Recipe, *, max_features: int = MAX_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(edges), pa.array(at.astype(np.int32)))], ["_id", "_y", "_kind", "_f"])
 
     got = rows.mapInArrow(number, "_id long, _y double, _kind int, _f array<int>").toPandas()
+    scratch.drop()
     got["_len"] = got["_f"].map(len)
     got = got.sort_values(["_kind", "_id", "_y", "_len"], kind="stable")
     first, second = got[got["_kind"] == 0], got[got["_kind"] == 1]
@@ -164,10 +166,11 @@ def training_rows(sample: DataFrame, recipe: Recipe, *, max_features: int = MAX_
     return Rows(known, first["_y"].to_numpy(), [np.array(f, np.int64) for f in first["_f"]], [other.get(i) for i in first["_id"]])
 
 
-def score_rows(docs: DataFrame, recipe: Recipe, known: np.ndarray, weights: np.ndarray, to_score, *, normalise: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score; to_score turns margins (sums of weights, over the root of the count if normalised) into 0 to 1."""
+def score_rows(docs: DataFrame, recipe: Recipe, known: np.ndarray, weights: np.ndarray, to_score, *, normalise: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score and the carried columns; to_score turns margins (sums of weights, over the root of the count if normalised) into 0 to 1."""
     used = weights != 0
     names, values = known[used], weights[used]
+    passed = Passed(docs, carry, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(names)
@@ -181,6 +184,6 @@ def score_rows(docs: DataFrame, recipe: Recipe, known: np.ndarray, weights: np.n
                     count += np.bincount(at_doc, minlength=docs_here) if len(at) else 0
                 if normalise:
                     margin = margin / np.sqrt(np.maximum(count, 1))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, docs_here), pa.array(to_score(margin))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, docs_here), pa.array(to_score(margin)), *passed.of(b, c.lo, docs_here)], ["doc_id", "score", *passed.names])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), *passed.extra).mapInArrow(run, "doc_id long, score double" + passed.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import materialise
+from tidemark.llm.store import Scratch, materialise
 
 N = 5
 PERCENT = 80
@@ -167,9 +167,10 @@ def _cuts(levels: np.ndarray, fragments: int) -> np.ndarray:
 def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     ident, text = F.col(id_col).cast("bigint"), F.col(text_col)
     plain = docs.select(ident.alias("_id"), F.xxhash64(ident, text).alias("_key"), text.alias("_text"), F.md5(text).alias("_md5"))
-    measured = materialise(plain.select("_key", "_text").mapInArrow(_measure(n, sketch_bits), "_key long, n long, block int, salt int, payload binary"), "ngram-sketch")
+    measured = scratch.save(plain.select("_key", "_text").mapInArrow(_measure(n, sketch_bits), "_key long, n long, block int, salt int, payload binary"), "ngram-sketch")
     table = _levels(measured.where("block is not null").select("block", "salt", "payload"), sketch_bits)
     levels, cuts = spark.sparkContext.broadcast(table), _cuts(table, fragments)
     sizes = measured.where("block is null").select("_key", "n").distinct()
@@ -181,10 +182,10 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = rows.join(firsts.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_prefixes(n, percent, levels, sketch_bits), "_h long, _key long, _n int")
     over = Window.partitionBy("_h")
     lists = found.repartition("_h").withColumn("_first", F.min("_key").over(over)).withColumn("_last", F.max("_key").over(over)).where("_first < _last")
-    lists = materialise(lists.select("_h", "_key", "_n"), "ngram-lists")
+    lists = scratch.save(lists.select("_h", "_key", "_n"), "ngram-lists")
     # How much of a document's prefix others share: the text that copies were made from has no n-gram of its own.
     central = lists.groupBy("_key", "_n").agg(F.count("*").alias("k")).select("_key", (F.col("k") * 1000 / (F.col("_n") * (100 - percent) / 100 + 1)).cast("int").alias("_central"))
-    lists = materialise(lists.join(central, "_key"), "ngram-lists")
+    lists = scratch.save(lists.join(central, "_key"), "ngram-lists")
 
     def alike(a: str, b: str) -> Column:
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
@@ -193,7 +194,7 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         """Pairs (a, b, na, nb) whose overlaps, counted fragment by fragment and summed, reach the similarity."""
         ends = pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).distinct()
         parts = rows.join(ends.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_segments(n, cuts, levels, sketch_bits), "_key long, _grams array<array<long>>")
-        parts = materialise(parts, "ngram-segments")
+        parts = scratch.save(parts, "ngram-segments")
         left = parts.select(F.col("_key").alias("a"), F.col("_grams").alias("_ga"))
         right = parts.select(F.col("_key").alias("b"), F.col("_grams").alias("_gb"))
         partial = F.zip_with("_ga", "_gb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
@@ -205,14 +206,14 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     # Stars: each list's most central member with the others.
     pivot = F.max(F.struct("_central", "_key", "_n")).over(over)
-    stars = materialise(pairs_of(lists.repartition("_h").withColumn("_p", pivot).where(F.col("_key") != F.col("_p._key")).where(alike("_n", "_p._n"))), "ngram-stars")
-    links = materialise(verified(stars), "ngram-links")
-    classes = connected_components(links.toDF("u", "v"))
+    stars = scratch.save(pairs_of(lists.repartition("_h").withColumn("_p", pivot).where(F.col("_key") != F.col("_p._key")).where(alike("_n", "_p._n"))), "ngram-stars")
+    links = scratch.save(verified(stars), "ngram-links")
+    classes = connected_components(links.toDF("u", "v"), scratch)
 
     # Lists whose members are still in different components.
     placed = lists.join(classes.select(F.col("id").alias("_key"), "component"), "_key", "left").withColumn("_c", F.coalesce("component", "_key"))
     placed = placed.repartition("_h").withColumn("_c1", F.min("_c").over(over)).withColumn("_c2", F.max("_c").over(over)).where("_c1 < _c2").select("_h", "_key", "_n", "_c")
-    placed = materialise(placed, "ngram-mixed")
+    placed = scratch.save(placed, "ngram-mixed")
 
     # What is left: all pairs of one list whose ends are in different components.
     # Common n-grams are in both prefixes or behind the prefix that ends first, so `need` of a pair's lists are common;
@@ -220,21 +221,22 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     size = placed.groupBy("_h").agg(F.count("*").alias("_size"))
     mine = Window.partitionBy("_key")
     placed = placed.join(size, "_h").withColumn("_left", F.count("*").over(mine) - F.row_number().over(mine.orderBy("_size", "_h")) + 1)
-    placed = materialise(placed, "ngram-mixed")
+    placed = scratch.save(placed, "ngram-mixed")
     one = placed.select("_h", F.col("_key").alias("a"), F.col("_n").cast("long").alias("na"), F.col("_c").alias("ca"), F.col("_left").alias("la"))
     two = placed.select("_h", F.col("_key").alias("b"), F.col("_n").cast("long").alias("nb"), F.col("_c").alias("cb"), F.col("_left").alias("lb"))
     behind = F.floor((F.greatest("na", "nb") * percent + 99) / 100) - 1
     need = F.ceil((F.col("na") + F.col("nb")) * (percent / (100.0 + percent)) - 1e-9) - behind
     near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("na", "nb") & (F.least("la", "lb") >= need)
     rest = one.join(two, (one["_h"] == two["_h"]) & near).select("a", "b", "na", "nb").distinct()
-    rest = materialise(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "ngram-rest")
+    rest = scratch.save(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "ngram-rest")
     if not rest.isEmpty():
-        more = materialise(verified(rest), "ngram-links")
+        more = scratch.save(verified(rest), "ngram-links")
         if not more.isEmpty():
-            classes = connected_components(links.union(more).toDF("u", "v"))
+            classes = connected_components(links.union(more).toDF("u", "v"), scratch)
 
     # Classes of rows: each text's head, the head's component, the smallest doc_id of all members.
     members = plain.select("_id", "_key", "_md5").join(head, "_md5", "left").join(sizes, "_key", "left").join(classes.select(F.col("id").alias("_head"), "component"), "_head", "left")
     members = materialise(members.select("_id", F.col("n").alias("_n"), F.when(F.col("_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "_head")).alias("_class")), "ngram-members")
+    scratch.drop()
     least = members.where("_class is not null").groupBy("_class").agg(F.min("_id").alias("_least"))
     return members.join(least, "_class", "left").select(F.col("_id").alias("doc_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))

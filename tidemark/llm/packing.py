@@ -34,6 +34,8 @@ END_ID = 1
 SHARD = 32_768
 #: Bins that the search tries to empty in vain, one after another, before it ends.
 PATIENCE = 64
+#: Steps of one shard's search at most; a bound on its time, after which what is packed stays as it is.
+STEPS = 5_000
 
 
 def tokenise(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,18 +140,19 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     fill = [sum(lengths[i] for i in b) for b in bins]
     full = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
     s = _Search([b for b, f in zip(bins, fill, strict=True) if f < capacity], lengths, capacity)
-    tried: set[int] = set()
-    while len(tried) < PATIENCE:
+    tried, steps = set(), 0
+    while len(tried) < PATIENCE and steps < STEPS:
         live = [int(k) for k in np.argsort(s.fill, kind="stable") if s.fill[k] > 0]
         a = next((k for k in live if k not in tried), None)
         if a is None or len(full) + len(live) <= least:
             break
-        while s.fill[a] and s.step(a):
-            pass
+        before = steps
+        while s.fill[a] and steps < STEPS and s.step(a):
+            steps += 1
+        if steps > before:
+            tried.clear()  # what moved may have opened a way for other bins
         if s.fill[a]:
             tried.add(a)
-        else:
-            tried.clear()
     order = np.argsort(s.bin, kind="stable")
     edges = np.flatnonzero(np.diff(s.bin[order])) + 1
     return full + [x.tolist() for x in np.split(s.items[order], edges) if len(x)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.store import crc_mod
+from tidemark.llm.store import Passed, crc_mod
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.5
@@ -141,7 +141,7 @@ class Trees:
 def fit(x: np.ndarray, y: np.ndarray, *, falling: tuple[int, ...] = (), trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 5.0) -> Trees:
     """Trees for labels 0/1; falling: numbers of the features on which the score may only fall."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Trees(*(np.zeros(0, t) for t in (np.int64, float, np.int64, np.int64, float)), np.zeros(0, np.int64), 0, float(np.log(share / (1 - share))))
     m = x.shape[1]
@@ -224,8 +224,9 @@ def train(docs: DataFrame, labels: DataFrame, *, column: str = "quality", max_ro
     return fit(x[order], got["_y"].to_numpy()[order], falling=tuple(FEATURES.index(f) for f in FALLING))
 
 
-def apply_rules(docs: DataFrame, model: Trees, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base counts, base_failed, score, kept; one row per row of docs."""
+def apply_rules(docs: DataFrame, model: Trees, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the base counts, base_failed, score, kept and the carried columns of docs; one row per row of docs."""
+    passed = Passed(docs, carry, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,7 +234,7 @@ def apply_rules(docs: DataFrame, model: Trees, *, threshold: float = THRESHOLD,
                 base, x = statistics(c)
                 failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
                 score = model.score(x)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, c.hi - c.lo), *(pa.array(base[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], ["doc_id", *BASE, "base_failed", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, c.hi - c.lo), *(pa.array(base[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold)), *passed.of(b, c.lo, c.hi - c.lo)], ["doc_id", *BASE, "base_failed", "score", "kept", *passed.names])
 
-    schema = "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, score double, kept boolean"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, score double, kept boolean" + passed.schema
+    return docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), *passed.extra).mapInArrow(run, schema)

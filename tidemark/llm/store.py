@@ -35,6 +35,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that one operator needs until its own result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, new_path(spark, "scratch")
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Nothing that is read later may depend on these tables."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Passed:
+    """Columns that a row-wise operator hands on as they are; the text is not sent to Python twice."""
+
+    def __init__(self, docs: DataFrame, names: tuple[str, ...], text_col: str):
+        kinds = dict(docs.dtypes)
+        self.extra = [c for c in names if c != text_col]
+        self.schema = "".join(f", `{c}` {kinds[c]}" for c in names)
+        self.names, self.place = list(names), {c: 2 + k for k, c in enumerate(self.extra)} | {text_col: 1}
+
+    def of(self, batch, lo: int, n: int) -> list:
+        """Slices of a batch whose columns are id, text and the extra ones."""
+        return [batch.column(self.place[c]).slice(lo, n) for c in self.names]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

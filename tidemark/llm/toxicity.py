@@ -39,7 +39,7 @@ IDENTITY_TERMS = (
     "disabled", "blind", "deaf", "old", "young", "femmes", "hommes", "musulmans", "juifs", "frauen", "männer",
     "juden", "muslime", "mujeres", "hombres", "musulmanes", "judíos",
 )
-PENALTY = 10.0
+PENALTY = 50.0
 #: Strengths of the lasso term, of which cross-fitting picks one.
 L1 = (0.02, 0.008, 0.003, 0.001)
 FEATURES = 20_000
@@ -120,8 +120,8 @@ def fit(index: list[np.ndarray], y: np.ndarray, m: int, swapped: _Sparse, *, l1:
 
 
 def _swap_rows(rows: Rows, of: np.ndarray, terms: list[np.ndarray]) -> _Sparse:
-    plus = [rows.index[i] for i in of if rows.swapped and rows.swapped[i] is not None]
-    minus = [rows.swapped[i] for i in of if rows.swapped and rows.swapped[i] is not None]
+    both = [(rows.index[i], rows.swapped[i]) for i in of if rows.swapped and rows.swapped[i] is not None]
+    plus, minus = [np.setdiff1d(a, b) for a, b in both], [np.setdiff1d(b, a) for a, b in both]
     for t in terms:  # a mention alone should not move the score
         at = np.searchsorted(rows.known, t)
         at = at[(at < len(rows.known))]
@@ -167,9 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", max_rows
     return rows.known, w, to_score
 
 
-def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every row of docs."""
+def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score and the carried columns of every row of docs."""
     known, weights, to_score = model
     if known is None:
-        return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lit(to_score).alias("score"))
-    return score_rows(docs, RECIPE, known, weights, to_score, id_col=id_col, text_col=text_col)
+        return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lit(to_score).alias("score"), *carry)
+    return score_rows(docs, RECIPE, known, weights, to_score, id_col=id_col, text_col=text_col, carry=carry)
