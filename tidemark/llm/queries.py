@@ -103,6 +103,27 @@ WITH RECURSIVE e AS (
 )
 SELECT vec_id, coalesce(cnt.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN comp ON comp.u = vec_id LEFT JOIN cnt ON cnt.u = vec_id
+""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+    SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)
+), e AS (
+    SELECT u, v FROM l UNION SELECT v, u FROM l
+), r AS (
+    SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u
+), c AS (
+    SELECT u, min(v) AS component_id FROM r GROUP BY u
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.u = doc_id
 """,
     "op5_substring_dedup": r"""
 WITH w AS (
