@@ -43,8 +43,13 @@ def interval_counts(counts: DataFrame, s: Schedule) -> DataFrame:
 
 def interval_sizes(counts: DataFrame, s: Schedule) -> DataFrame:
     """stream, k, bytes, chunks, is_tail (fewer chunks than an interval), seen (weighted bytes of the state before it)."""
-    per = counts.groupBy("stream", F.expr(f"chunk div {s.interval}").alias("k")).agg(F.sum("c").alias("bytes"), F.countDistinct("chunk").alias("chunks"))
-    out = per.withColumn("is_tail", F.col("chunks") < s.interval)
+    # every chunk but a stream's last is full, so sizes follow from the stream's length
+    width = s.chunk * s.interval
+    total = counts.groupBy("stream").agg(F.sum("c").alias("total"))
+    per = total.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(total - 1) div {width}"))))
+    per = per.select("stream", "k", F.least(F.lit(width).cast("bigint"), F.col("total") - F.col("k") * width).alias("bytes"))
+    out = per.withColumn("chunks", F.ceil(F.col("bytes") / s.chunk).cast("bigint"))
+    out = out.withColumn("is_tail", F.col("chunks") < s.interval)
     return _with_state(out, F.col("bytes"), ("stream",), s, "seen")
 
 
