@@ -32,7 +32,9 @@ from tidemark.llm.word_tokens import vocabulary_path, word_tokenizer
 SEPARATOR = 49_407
 HEADER = 5
 #: Tokens of a block.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
+#: Documents of a file at most: Spark reads a file as one value, so files are kept small.
+FILE_DOCUMENTS = 2_000
 
 
 def _headers(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ def _ids(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def write_flat(docs: DataFrame, out: str, *, path: str | None = None, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Tokenises documents into flat files, one for each task, written by Spark itself to any store.
+    """Tokenises documents into flat files of at most FILE_DOCUMENTS documents, written by Spark itself to any store.
 
     The text writer puts a record's bytes and then the line separator: here a
     document's ids and the separator's two bytes.
@@ -82,7 +84,7 @@ def write_flat(docs: DataFrame, out: str, *, path: str | None = None, separator:
                 yield pa.RecordBatch.from_arrays([raw], ["ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "ids binary")
-    rows.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator.to_bytes(2, "little").decode("latin-1")).text(out)
+    rows.select(F.col("ids").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_DOCUMENTS).option("encoding", "ISO-8859-1").option("lineSep", separator.to_bytes(2, "little").decode("latin-1")).text(out)
 
 
 def read_blocks(spark: SparkSession, path: str, *, block: int = BLOCK, halo: int = HEADER) -> DataFrame:

@@ -17,7 +17,7 @@ from tidemark.llm import kernels as K
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct keys that a worker remembers; beyond that it starts anew. A matter of speed alone.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,7 +34,7 @@ class SpanCache:
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.runs = [none, none]
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1024, self.dtype)
         self.used = 0
@@ -51,7 +51,7 @@ class SpanCache:
 
     def add(self, keys: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Adds sorted new keys; values: their runs one after another. Returns their slots."""
-        slots = np.arange(len(self.starts), len(self.starts) + len(keys))
+        slots = np.arange(len(self.starts), len(self.starts) + len(keys), dtype=np.int32)
         if self.used + len(values) > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(len(values), self.used), self.dtype)))
         self.flat[self.used : self.used + len(values)] = values
@@ -66,7 +66,7 @@ class SpanCache:
 
         self.runs[1] = merge(self.runs[1], (keys, slots))
         if len(self.runs[1][0]) > 0.2 * len(self.runs[0][0]):
-            self.runs = [merge(*self.runs), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            self.runs = [merge(*self.runs), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
         return slots
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
