@@ -465,6 +465,25 @@ def test_lm_is_a_distribution():
     assert p[-1] > -1 and p[0] == pytest.approx(-3)
 
 
+def test_lm_learns_from_long_texts(spark, monkeypatch):
+    # every training text is longer than 4,000 characters
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 1500)) for k in range(8)]
+    assert all(len(t) > 4_000 for _, t in rows)
+    seen, cost = [], lm_scoring.Mixer.cost
+    with monkeypatch.context() as m:
+        m.setattr(lm_scoring.Mixer, "cost", lambda self, *a: seen.append(self) or cost(self, *a))
+        lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fresh = lm_scoring.Mixer.fresh(np.stack((seen[0].zero, seen[0].one)))
+    assert seen[0].states.any() and (seen[0].weights != fresh.weights).any() and (seen[0].cells != fresh.cells).any()
+    # as if the texts had been read in one place
+    train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1]
+    alone = lm_scoring.learn_mixing(np.stack((fresh.zero, fresh.one)), train)
+    assert np.allclose(seen[0].states, alone.states)
+    code = lm_scoring.coded(np.frombuffer(b"w12w999qqqq", np.uint8), np.array([0, 3, 7]), np.array([3, 7, 11]))
+    assert np.allclose(cost(seen[0], *code), cost(alone, *code))
+
+
 def test_queries_register():
     from tidemark.llm import queries
 
