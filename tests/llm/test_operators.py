@@ -484,6 +484,18 @@ def test_lm_learns_from_long_texts(spark, monkeypatch):
     assert np.allclose(cost(seen[0], *code), cost(alone, *code))
 
 
+def test_lm_scores_very_long_words(spark):
+    # far below any float, each nat still counts
+    p = lm_scoring.adapt(np.array([5, 6, 7], np.uint64), np.array([-3.0, -5_000.0, -90_000.0]), np.array([0, 1, 3]))
+    assert p[0] == pytest.approx(-3) and p[1] == pytest.approx(-5_000) and p[2] == pytest.approx(-90_000, abs=1)
+    rng = random.Random(5)
+    blob = "".join(rng.choice("0123456789abcdef") for _ in range(100_000))
+    rows = [(k, prose(rng, 50)) for k in range(20)] + [(100, blob[:2_000]), (101, blob)]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(math.isfinite(x) for x in got.values())
+    assert got[101] < -20_000 and got[101] < 10 * got[100]
+
+
 def test_queries_register():
     from tidemark.llm import queries
 
