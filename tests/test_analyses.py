@@ -1,10 +1,13 @@
 """Hand-computed expectations of the analyses."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.operators import adjacency, branch, chunking, context, gk, ledger, mixing, rate
 
 
@@ -147,3 +150,17 @@ def test_padding(spark):
     got = [(len(r.p), r.u) for r in df.select(chunking.pad(F.col("t")).alias("p"), chunking.unpad(chunking.pad(F.col("t"))).alias("u")).collect()]
     assert got == [(16, [1, 256, 2]), (0, [])]
     assert math.isclose(1.0, 1.0)
+
+
+def test_domain_spans_cross_blocks(spark, tmp_path):
+    rng = random.Random(6)
+    ids = sorted(rng.sample(range(9000), 3000)) + list(range(20_000, 20_003))
+    langs = [("en", "fr", None)[i // 700 % 3] if i < 6000 else "de" for i in ids]
+    langs[5] = "fr"
+    spark.createDataFrame(list(zip(ids, langs, strict=True)), "doc_id long, lang string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, (_, group) in enumerate(itertools.groupby(zip(ids, langs, strict=True), key=lambda x: x[1])):
+        group = list(group)
+        want.append((k + 1, group[0][1], group[0][0], group[-1][0], len(group)))
+    got = registry.queries()["domain_spans_whole"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == want

@@ -169,6 +169,21 @@ def domain_spans(spark, sf_dir):
     return d.groupBy("block", "span", "lang").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n"))
 
 
+def domain_spans_whole(spark, sf_dir):
+    """Runs of documents of one language in order of doc_id, over all ids: runs within blocks, joined by a scan over one row per block."""
+    d = _docs(spark, sf_dir).select("doc_id", "lang", F.expr("doc_id div 1000").alias("block"))
+    w = Window.partitionBy("block").orderBy("doc_id")
+    d = d.withColumn("new", F.when(F.row_number().over(w) == 1, 1).otherwise((~F.col("lang").eqNullSafe(F.lag("lang").over(w))).cast("int"))).withColumn("run", F.sum("new").over(w))
+    runs = d.groupBy("block", "run", "lang").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n"))
+    # the language in a struct: min_by and max_by give null for a null language too, but a struct is told from no block before
+    ends = runs.groupBy("block").agg(F.max("run").alias("runs"), F.min_by(F.struct("lang"), "run").alias("begin"), F.max_by(F.struct("lang"), "run").alias("end"))
+    over = Window.orderBy("block")
+    before = F.lag("end").over(over)
+    ends = ends.withColumn("goes_on", (before.isNotNull() & before["lang"].eqNullSafe(F.col("begin")["lang"])).cast("int"))
+    ends = ends.select("block", (F.sum(F.col("runs") - F.col("goes_on")).over(over) - F.col("runs")).alias("before"))
+    return runs.join(ends, "block").groupBy((F.col("before") + F.col("run")).alias("span"), "lang").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n"))
+
+
 def length_stats(spark, sf_dir):
     n = F.col("n_chars")
     p = lambda x: F.floor(F.percentile(n, x))
@@ -210,7 +225,7 @@ QUERIES = {
         chunk_text_fixed, chunk_docs_windows, chunk_words_overlap, chunk_reassemble, bytes_padded, model_input_mask, interval_groups,
         update_boundaries, training_windows, coding_order_permuted, coding_order_restored, prefix_cap_bytes, max_chunks_whole_item, context_tail,
         varint_lengths, char_diff_subs, char_diff_multiset, changed_chunks, tokenizer_tag, parse_size, human_bytes, autopick_text_column,
-        row_to_text, records_skip_then_take, domain_spans, length_stats, length_batches, device_shards, batch_sizes, image_patch_grid,
+        row_to_text, records_skip_then_take, domain_spans, domain_spans_whole, length_stats, length_batches, device_shards, batch_sizes, image_patch_grid,
     )
 }
 
