@@ -465,6 +465,32 @@ def test_lm_is_a_distribution():
     assert p[-1] > -1 and p[0] == pytest.approx(-3)
 
 
+def test_local_search_leaves_no_step():
+    # best fit leaves thousands of bins of two underfull
+    rng = random.Random(8)
+    lengths, capacity = [rng.randrange(1024, 2048) for _ in range(8000)], 4096
+    after = packing.local_search(packing.best_fit(lengths, capacity), lengths, capacity)
+    assert sorted(itertools.chain(*after)) == list(range(len(lengths)))
+    size, owner = np.array(lengths), np.zeros(len(lengths), int)
+    for k, b in enumerate(after):
+        owner[b] = k
+    fill = np.bincount(owner, size)
+    assert fill.max() <= capacity
+    for a, b in enumerate(after):
+        room = np.where((fill >= fill[a]) & (fill < capacity) & (np.arange(len(after)) != a), capacity - fill, 0)
+        assert size[b].min() > room.max()
+        gains = {lengths[i] for i in b} | {lengths[i] + lengths[j] for i, j in itertools.combinations(b, 2)}
+        for s in gains:
+            assert not ((s > size) & (s - size <= room[owner])).any()
+
+
+def test_exchange_of_a_bins_smallest_items():
+    # 6 and 7 go for 10; there are 64 larger items in their bin
+    lengths = [50] * 64 + [7, 6, 9985, 10]
+    s = packing._Search([list(range(66)), [66, 67]], lengths, 10_000)
+    assert s.step(0) and s.fill.tolist() == [3210, 9998]
+
+
 def test_lm_learns_from_long_texts(spark, monkeypatch):
     # every training text is longer than 4,000 characters
     rng = random.Random(4)

@@ -6,10 +6,11 @@ hash to shards of about SHARD pieces, so that a shard's waste of less than one
 sequence is small against its content, and each shard is packed by itself:
 
 * best fit, longest first, with a bitmap of the room that open bins have left;
-* then local search: the emptiest bin's documents move to, or are exchanged one
-  for one or two for one with, those of other underfull bins, each step raising
-  the sum of squared fills, until that bin is empty or no step is left.  It ends at
-  once when the number of bins is the least possible, total / capacity.
+* then local search: a bin's documents move to, or are exchanged one for one or two
+  for one with, those of other underfull bins, each step raising the sum of squared
+  fills, until that bin is empty or no step is left.  Passes over the underfull bins,
+  emptiest first, go on until none of them has a step left, or until the number of
+  bins is the least possible, total / capacity.
 
 Defined cases: null or empty text is the end id alone; an empty table packs to no
 row; repeated rows are packed each; ids of any value, null too, are carried along.
@@ -32,10 +33,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs together.
 SHARD = 32_768
-#: Bins that the search tries to empty in vain, one after another, before it ends.
-PATIENCE = 64
-#: Steps of one shard's search at most; a bound on its time, after which what is packed stays as it is.
-STEPS = 5_000
 
 
 def tokenise(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,45 +83,57 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Search:
-    """Underfull bins as flat arrays: item sizes, the bin of each, the room of each bin."""
+    """Underfull bins: item sizes, the bin of each, the items and the fill of each bin."""
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
-        self.items = np.array([i for b in bins for i in b], np.int64)
+        self.items = [i for b in bins for i in b]
         self.size = np.array([lengths[i] for i in self.items], np.int64)
         self.bin = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+        edges = np.cumsum([0, *map(len, bins)]).tolist()
+        self.members = [list(range(lo, hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         self.fill = np.bincount(self.bin, self.size, len(bins)).astype(np.int64)
         self.capacity = capacity
 
     def put(self, at: int, to: int) -> None:
         self.fill[self.bin[at]] -= self.size[at]
+        self.members[self.bin[at]].remove(at)
         self.bin[at] = to
+        self.members[to].append(at)
         self.fill[to] += self.size[at]
 
     def step(self, a: int) -> bool:
         """One step that takes weight from bin a into a bin that is at least as full; True if there was one."""
-        mine = np.flatnonzero(self.bin == a)
-        mine = mine[np.argsort(-self.size[mine])]
+        mine = self.members[a]
+        sizes, one, count = np.unique(self.size[mine], return_index=True, return_counts=True)
         room = self.capacity - self.fill
         better = (self.fill >= self.fill[a]) & (room > 0)
         better[a] = False
-        theirs = np.flatnonzero(better[self.bin])
-        for i in mine.tolist():  # move
-            fit = np.flatnonzero(better & (room >= self.size[i]))
-            if len(fit):
-                self.put(i, int(fit[np.argmin(room[fit])]))
-                return True
-        best, choice = 0, None
-        most = room[self.bin[theirs]]
-        groups = [(i,) for i in mine.tolist()] + [(i, j) for x, i in enumerate(mine.tolist()[:64]) for j in mine.tolist()[x + 1 : 64]]
-        for group in groups:  # one for one, two for one
-            gain = self.size[list(group)].sum() - self.size[theirs]
-            gain[(gain > most) | (gain <= 0)] = 0
-            k = int(np.argmax(gain)) if len(gain) else 0
-            if len(gain) and gain[k] > best:
-                best, choice = int(gain[k]), (group, int(theirs[k]))
-        if choice is None:
+        room[~better] = 0
+        k = int(np.searchsorted(sizes, room.max(), "right")) - 1
+        if k >= 0:  # move
+            fit = np.flatnonzero(room >= sizes[k])
+            self.put(mine[one[k]], int(fit[np.argmin(room[fit])]))
+            return True
+        # one for one, two for one: the most that can come for an item is the largest sum that its bin still holds in its stead
+        pairs = sizes[:, None] + sizes
+        pairs[np.diag_indices(len(sizes))] = np.where(count > 1, 2 * sizes, 0)
+        sums = np.zeros(self.capacity + 1, np.int64)
+        for x in (sizes, pairs[pairs <= self.capacity]):
+            sums[x] = x
+        np.maximum.accumulate(sums, out=sums)
+        rest = room[self.bin]
+        gain = np.where(rest > 0, sums[self.size + rest] - self.size, 0)
+        other = int(np.argmax(gain))
+        if gain[other] <= 0:
             return False
-        group, other = choice
+        total = int(gain[other] + self.size[other])
+        at = int(np.searchsorted(sizes, total))
+        if at < len(sizes) and sizes[at] == total:
+            group = [mine[one[at]]]
+        else:
+            x, y = (int(v[0]) for v in np.nonzero(pairs == total))
+            second = next(i for i in mine if self.size[i] == sizes[y] and i != mine[one[x]])
+            group = [mine[one[x]], second]
         to = int(self.bin[other])
         self.put(other, a)
         for i in group:
@@ -133,29 +142,22 @@ class _Search:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Exchanges between underfull bins until no bin can be emptied. Squared fill rises with each step, so it ends."""
+    """Exchanges between underfull bins until none has a step left. Squared fill rises with each step, so it ends."""
     least = -(-sum(lengths) // capacity)
-    if len(bins) <= least:
-        return bins
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    full = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
-    s = _Search([b for b, f in zip(bins, fill, strict=True) if f < capacity], lengths, capacity)
-    tried, steps = set(), 0
-    while len(tried) < PATIENCE and steps < STEPS:
-        live = [int(k) for k in np.argsort(s.fill, kind="stable") if s.fill[k] > 0]
-        a = next((k for k in live if k not in tried), None)
-        if a is None or len(full) + len(live) <= least:
-            break
-        before = steps
-        while s.fill[a] and steps < STEPS and s.step(a):
-            steps += 1
-        if steps > before:
-            tried.clear()  # what moved may have opened a way for other bins
-        if s.fill[a]:
-            tried.add(a)
-    order = np.argsort(s.bin, kind="stable")
-    edges = np.flatnonzero(np.diff(s.bin[order])) + 1
-    return full + [x.tolist() for x in np.split(s.items[order], edges) if len(x)]
+    full, open_bins, again = [], bins, True
+    while again and len(full) + len(open_bins) > least:
+        fill = [sum(lengths[i] for i in b) for b in open_bins]
+        full += [b for b, f in zip(open_bins, fill, strict=True) if f == capacity]
+        s = _Search([b for b, f in zip(open_bins, fill, strict=True) if f < capacity], lengths, capacity)
+        again, left = False, len(s.members)
+        for a in np.argsort(s.fill, kind="stable").tolist():
+            while s.fill[a] and s.step(a):
+                again = True
+            left -= s.fill[a] == 0
+            if len(full) + left <= least:
+                break
+        open_bins = [[s.items[i] for i in m] for m in s.members if m]
+    return full + open_bins
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
