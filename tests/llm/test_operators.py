@@ -522,6 +522,20 @@ def test_lm_scores_very_long_words(spark):
     assert got[101] < -20_000 and got[101] < 10 * got[100]
 
 
+def test_lm_knows_word_order(spark):
+    # ids 100 to 139: both orders of the same words, each word once; only one order is in the training texts
+    crc = lambda k: zlib.crc32(str(k).encode()) % 5
+    train = [k for k in range(100) if crc(k) != 1][:30]
+    a, b = [k for k in range(100, 140) if crc(k) == 1][:2]
+    rows = [(k, "red ants carry green leaves") for k in train] + [(a, "red ants carry green leaves"), (b, "leaves carry red green ants")]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[a].held_out and got[b].held_out and got[a].score > got[b].score + 1
+    # of ten that followed, 6 and 4; the model has the rest
+    p = 10 ** lm_scoring.follow(np.log10([0.5, 0.3, 0.2]), np.full(3, 10), np.full(3, 2.0), np.array([6, 4, 0]))
+    assert p.sum() == pytest.approx(1) and p[0] == pytest.approx(6 / 12 + 2 / 12 * 0.5)
+    assert lm_scoring.follow(np.array([-3.0]), np.array([0]), np.array([0.0]), np.array([0]))[0] == pytest.approx(-3)
+
+
 def test_queries_register():
     from tidemark.llm import queries
 
