@@ -433,6 +433,37 @@ def test_graph_recall():
     assert np.mean([len(set(t) & set(i)) / 5 for t, i in zip(truth, ids)]) >= 0.9
 
 
+def test_audit_sees_pairs_beside_a_hot_group(monkeypatch):
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=32) + 0.001 * rng.normal(size=(1600, 32))
+    single = rng.normal(size=(500, 32))
+    x = np.concatenate((hot, single, single + 0.001 * rng.normal(size=single.shape)))[rng.permutation(2600)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    want = linked.sum(1)
+
+    class Narrow:
+        """A graph whose narrow beams reach no pair, only the hot group."""
+
+        def __init__(self, unit):
+            self.unit = unit
+
+        def search(self, q, beam):
+            sims = q @ self.unit.T
+            sims[(sims >= 0.98).sum(1) < 100] = -1 if beam < 64 else sims[(sims >= 0.98).sum(1) < 100]
+            ids = np.argsort(-sims, 1)[:, :beam]
+            return ids, np.take_along_axis(sims, ids, 1)
+
+    monkeypatch.setattr(hnsw_dedup, "Graph", Narrow)
+    got = hnsw_dedup.find_links(x, x, np.ones(2600, np.int64), np.arange(2600), 0.98)
+    assert (got.near == want).all() and want.min() == 1 and want.max() == 1599
+    # pairs so rare that a first draw of queries meets none
+    rare = np.concatenate((rng.normal(size=(2598, 32)), np.repeat(rng.normal(size=(1, 32)), 2, 0)))
+    rare[2598:] += 0.001 * rng.normal(size=(2, 32))
+    assert hnsw_dedup.find_links(rare, rare, np.ones(2600, np.int64), np.arange(2600), 0.98).near.sum() == 2
+
+
 # --- 8
 
 

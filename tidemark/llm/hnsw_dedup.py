@@ -8,8 +8,9 @@ below, and a search descends from the top.  Queries walk the graph in lockstep,
 numpy.
 
 A shard's beam is widened as long as an audit - evenly spaced queries in hash order,
-each against every vector of the shard - finds less than RECALL of the true links; a
-beam as wide as the shard is exact.  Near entries of beams give classes; within a
+each against every vector of the shard, until LINKED of them have a link or none is
+left - finds less than RECALL of a query's true links in the mean over those that have
+one; a beam as wide as the shard is exact.  Near entries of beams give classes; within a
 class all cosines are computed in double precision, in blocks, for the number of
 links of each vector, and only links that span the class are emitted.  Components
 are united from those by star rounds.
@@ -35,7 +36,8 @@ from tidemark.llm.store import Scratch, materialise
 THRESHOLD = 0.98
 SHARD = 20_000
 RECALL = 0.999
-AUDITS = 256
+#: Queries that an audit draws at a time, and how many of all drawn must have a link.
+AUDITS, LINKED = 256, 64
 NEIGHBOURS = 12
 LAYER_SHARE = 16
 BEAM = 32
@@ -203,7 +205,7 @@ def _classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Links:
-    """What a shard found: the weight linked to each query, links that span its classes, and how many of an audit's links it found."""
+    """What a shard found: the weight linked to each query, links that span its classes, and the mean share of an audited query's links that it found."""
 
     near: np.ndarray
     a: np.ndarray
@@ -222,21 +224,37 @@ def find_links(nodes: np.ndarray, queries: np.ndarray, weights: np.ndarray, same
     qunit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
     n, m = len(nodes), len(queries)
     graph = Graph(unit)
-    audit = np.arange(0, m, max(1, m // AUDITS))
-    truth = np.array([weights[(row >= threshold) & (np.arange(n) != same[i])].sum() for i, row in zip(audit, _cosines(queries[audit], nodes), strict=True)])
+    audit, truth = _audit(nodes, queries, weights, same, threshold)
     beam = BEAM
     while True:
         ids, sims = graph.search(qunit, min(beam, n))
         rows, cols = np.nonzero((ids >= 0) & (sims >= threshold - SLACK))
         label = _classes(m + n, np.concatenate((rows, np.flatnonzero(same >= 0))), np.concatenate((m + ids[rows, cols], m + same[same >= 0])))
         out = _verify(nodes, queries, weights, same, label, threshold)
-        found, wanted = out.near[audit].sum(), truth.sum()
-        out.recall = found / wanted if wanted else 1.0
+        out.recall = float((out.near[audit] / truth).mean()) if len(audit) else 1.0
         if out.recall >= recall or beam >= n:
             return out
         beam *= 2
 
 
+def _audit(nodes: np.ndarray, queries: np.ndarray, weights: np.ndarray, same: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Queries that have a link, and the weight linked to each: of evenly spaced ones, stride after stride, until LINKED are found."""
+    stride = max(1, len(queries) // AUDITS)
+    audit, truth = [], []
+    # strides start at places spread over the first, so that each round is evenly spaced too
+    for start in sorted(range(stride), key=lambda k: k * 0.6180339887498949 % 1):
+        drawn = np.arange(start, len(queries), stride)
+        hit = _cosines(queries[drawn], nodes) >= threshold
+        own = np.flatnonzero(same[drawn] >= 0)
+        hit[own, same[drawn[own]]] = False
+        near = hit @ weights
+        audit.append(drawn[near > 0])
+        truth.append(near[near > 0])
+        if sum(map(len, audit)) >= LINKED:
+            break
+    return (np.concatenate(audit), np.concatenate(truth)) if audit else (np.zeros(0, np.int64), np.zeros(0))
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / (np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :])
 
