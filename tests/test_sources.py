@@ -1,11 +1,15 @@
 """Readers and sinks on small files."""
 
 import json
+import sys
+import types
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.functions import texts
 from tidemark.operators import chunking, codecs, rate
 from tidemark.sources import readers, sinks
@@ -79,6 +83,22 @@ def test_codecs(spark):
     assert pieces["zlib"].compressed > rows["zlib"].compressed
 
 
+def test_codecs_over_whole_documents(spark, tmp_path):
+    docs = [(1, "a", "to be or not " * 500), (2, "a", None), (3, "b", "x" * 3000)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.codec, r.source): (r.original, r.compressed) for r in registry.queries()["codec_baselines_whole"](spark, str(tmp_path)).collect()}
+    size = lambda t: len(zlib.compress((t or "").encode(), 9))
+    assert got["zlib", "a"] == (6500, size(docs[0][2]) + size(None)) and got["zlib", "b"] == (3000, size(docs[2][2]))
+    assert got["zlib", None] == (9500, sum(size(t) for _, _, t in docs))
+
+
+def test_brotli_where_installed(monkeypatch):
+    monkeypatch.setitem(sys.modules, "brotli", types.SimpleNamespace(compress=lambda raw, quality: raw[:quality]))
+    assert codecs.size("brotli", b"x" * 50) == 11
+    monkeypatch.setitem(sys.modules, "brotli", None)
+    assert codecs.size("brotli", b"x" * 50) is None
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("abc", "abd")], "a string, b string")
     assert [tuple(r) for r in texts.substitutions(df, "a", "b").collect()] == [("c", "d", 1)]

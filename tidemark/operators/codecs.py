@@ -34,25 +34,33 @@ def round_trip(stream: DataFrame, config: RunConfig, *, block: int = 65_536) ->
     return segments(stream, block).groupBy("stream", "unit").applyInPandas(run, "stream string, block long, bytes long, archive_bytes long, payload_bytes long, equal boolean")
 
 
+def size(name: str, raw: bytes) -> int | None:
+    """Bytes that a codec makes of raw; None where it is not installed."""
+    if name == "zlib":
+        return len(zlib.compress(raw, 9))
+    if name == "lzma":
+        return len(lzma.compress(raw, format=lzma.FORMAT_ALONE, preset=9 | lzma.PRESET_EXTREME))
+    if name == "zstd":
+        try:
+            import zstandard
+        except ImportError:
+            return None
+        return len(zstandard.ZstdCompressor(level=19).compress(raw))
+    if name == "brotli":
+        try:
+            import brotli
+        except ImportError:
+            return None
+        return len(brotli.compress(raw, quality=11))
+    return None
+
+
 def baselines(items: DataFrame, key: str, data: str = "data", *, piece: int | None = None) -> DataFrame:
     """key, codec, status, original, compressed, ratio, rate_pct, bpb: of whole values, or of pieces of that many bytes, summed.
 
     Codecs that are not installed are reported as skipped; an error of one does not stop the others.
     """
 
-    def size(name: str, raw: bytes) -> int | None:
-        if name == "zlib":
-            return len(zlib.compress(raw, 9))
-        if name == "lzma":
-            return len(lzma.compress(raw, format=lzma.FORMAT_ALONE, preset=9 | lzma.PRESET_EXTREME))
-        if name == "zstd":
-            try:
-                import zstandard
-            except ImportError:
-                return None
-            return len(zstandard.ZstdCompressor(level=19).compress(raw))
-        return None
-
     def run(batches):
         for pdf in batches:
             rows = []

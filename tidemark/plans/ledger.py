@@ -128,6 +128,12 @@ def codec_baselines(spark, sf_dir):
     return codecs.with_total(codecs.baselines(d, "source", piece=2048), "source")
 
 
+def codec_baselines_whole(spark, sf_dir):
+    """Codecs over each document as a whole, by source and in all."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    return codecs.with_total(codecs.baselines(d, "source"), "source")
+
+
 def signal_mixture(spark, sf_dir):
     return readers.signal(spark, 2000, 8000).select("i", S.q6(F.col("x")).alias("x"))
 
@@ -166,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         context_cells, context_square, collapse_points, sweep_grid, sweep_summary, sweep_best, sweep_ls, sweep_varied, eval_per_doc, eval_totals,
-        roundtrip_check, codec_baselines, signal_mixture, status_upsert, shard_fold, byte_slices, loader_choice, fallback_ladder,
+        roundtrip_check, codec_baselines, codec_baselines_whole, signal_mixture, status_upsert, shard_fold, byte_slices, loader_choice, fallback_ladder,
     )
 }
 
