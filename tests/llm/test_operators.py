@@ -130,13 +130,16 @@ def test_packing(odd, none):
 def test_local_search_empties_a_bin():
     # best fit opens a third bin; a two-for-one exchange saves it
     lengths = [6, 5, 4, 3, 2]
-    assert len(packing.local_search([[0], [1, 2], [3, 4]], lengths, 10)) == 2
+    bins, steps = packing.local_search([[0], [1, 2], [3, 4]], lengths, 10)
+    assert len(bins) == 2 and steps > 0
     rng = random.Random(1)
     for _ in range(20):
         lengths = [rng.randrange(1, 100) for _ in range(60)]
         first = packing.best_fit(lengths, 100)
-        after = packing.local_search(first, lengths, 100)
+        after, _ = packing.local_search(first, lengths, 100)
         assert sorted(itertools.chain(*after)) == list(range(60)) and len(after) <= len(first)
+        whole, steps = packing.pack_lengths(lengths, 100)
+        assert sorted(itertools.chain(*whole)) == list(range(60)) and len(whole) <= len(after) and steps > 0
         assert all(sum(lengths[i] for i in b) <= 100 for b in after)
 
 
@@ -637,7 +640,7 @@ def test_local_search_leaves_no_step():
     # best fit leaves thousands of bins of two underfull
     rng = random.Random(8)
     lengths, capacity = [rng.randrange(1024, 2048) for _ in range(8000)], 4096
-    after = packing.local_search(packing.best_fit(lengths, capacity), lengths, capacity)
+    after, _ = packing.local_search(packing.best_fit(lengths, capacity), lengths, capacity)
     assert sorted(itertools.chain(*after)) == list(range(len(lengths)))
     size, owner = np.array(lengths), np.zeros(len(lengths), int)
     for k, b in enumerate(after):

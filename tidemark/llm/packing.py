@@ -5,12 +5,18 @@ capacity are cut.  Full pieces are sequences as they are.  The rest are dealt by
 hash to shards of about SHARD pieces, so that a shard's waste of less than one
 sequence is small against its content, and each shard is packed by itself:
 
-* best fit, longest first, with a bitmap of the room that open bins have left;
+* a first assignment, each piece in the order of their hash into the open bin with the
+  least sufficient room (a bitmap of rooms finds it);
 * then local search: a bin's documents move to, or are exchanged one for one or two
   for one with, those of other underfull bins, each step raising the sum of squared
   fills, until that bin is empty or no step is left.  Passes over the underfull bins,
   emptiest first, go on until none of them has a step left, or until the number of
-  bins is the least possible, total / capacity.
+  bins is the least possible, total / capacity;
+* where that is not reached, the documents of all underfull bins are assigned anew,
+  longest first, and searched again, as long as that saves a bin; and last a search of
+  all documents assigned longest first is held against it.
+
+`search_steps` tells how many steps a shard's search took.
 
 Defined cases: null or empty text is the end id alone; an empty table packs to no
 row; repeated rows are packed each; ids of any value, null too, are carried along.
@@ -60,11 +66,11 @@ def tokenise(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACI
     return docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: longest first, each into the open bin with the least sufficient room."""
+def best_fit(lengths: list[int], capacity: int, *, longest_first: bool = True) -> list[list[int]]:
+    """Bins of item numbers: longest first or as they come, each into the open bin with the least sufficient room."""
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask, bins = 0, []
-    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True) if longest_first else range(len(lengths)):
         size = lengths[i]
         above = mask >> size
         if above:
@@ -92,7 +98,7 @@ class _Search:
         edges = np.cumsum([0, *map(len, bins)]).tolist()
         self.members = [list(range(lo, hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         self.fill = np.bincount(self.bin, self.size, len(bins)).astype(np.int64)
-        self.capacity = capacity
+        self.capacity, self.steps = capacity, 0
 
     def put(self, at: int, to: int) -> None:
         self.fill[self.bin[at]] -= self.size[at]
@@ -113,6 +119,7 @@ class _Search:
         if k >= 0:  # move
             fit = np.flatnonzero(room >= sizes[k])
             self.put(mine[one[k]], int(fit[np.argmin(room[fit])]))
+            self.steps += 1
             return True
         # one for one, two for one: the most that can come for an item is the largest sum that its bin still holds in its stead
         pairs = sizes[:, None] + sizes
@@ -138,51 +145,72 @@ class _Search:
         self.put(other, a)
         for i in group:
             self.put(i, to)
+        self.steps += 1
         return True
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Exchanges between underfull bins until none has a step left. Squared fill rises with each step, so it ends."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[list[list[int]], int]:
+    """Exchanges between underfull bins until none has a step left, and their number. Squared fill rises with each step, so it ends."""
     least = -(-sum(lengths) // capacity)
-    full, open_bins, again = [], bins, True
+    full, open_bins, again, steps = [], bins, True, 0
     while again and len(full) + len(open_bins) > least:
         fill = [sum(lengths[i] for i in b) for b in open_bins]
         full += [b for b, f in zip(open_bins, fill, strict=True) if f == capacity]
         s = _Search([b for b, f in zip(open_bins, fill, strict=True) if f < capacity], lengths, capacity)
-        again, left = False, len(s.members)
+        left = len(s.members)
         for a in np.argsort(s.fill, kind="stable").tolist():
             while s.fill[a] and s.step(a):
-                again = True
+                pass
             left -= s.fill[a] == 0
             if len(full) + left <= least:
                 break
+        again, steps = s.steps > 0, steps + s.steps
         open_bins = [[s.items[i] for i in m] for m in s.members if m]
-    return full + open_bins
+    return full + open_bins, steps
 
 
-def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+def pack_lengths(lengths: list[int], capacity: int) -> tuple[list[list[int]], int]:
+    """Bins of item numbers, and the steps that the search took."""
+    bins, steps = local_search(best_fit(lengths, capacity, longest_first=False), lengths, capacity)
+    least = -(-sum(lengths) // capacity)
+    while len(bins) > least:
+        full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
+        rest = [i for b in bins if sum(lengths[i] for i in b) < capacity for i in b]
+        size = [lengths[i] for i in rest]
+        anew, more = local_search(best_fit(size, capacity), size, capacity)
+        steps += more
+        if len(full) + len(anew) >= len(bins):
+            break
+        bins = full + [[rest[i] for i in b] for b in anew]
+    if len(bins) > least:
+        other, more = local_search(best_fit(lengths, capacity), lengths, capacity)
+        bins, steps = min(bins, other, key=len), steps + more
+    return bins, steps
 
 
 def pack(pieces: DataFrame, shards: int, *, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length, of which none is longer than capacity."""
+    """Adds sequence_id, offset and search_steps (of its shard) to rows with doc_id, piece, start and length, of which none is longer than capacity."""
+    key = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in pieces.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
+        order = ["_order", *key]  # a hash: the order in which pieces come
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         whole = np.flatnonzero(lengths == capacity)
         rest = np.flatnonzero(lengths < capacity)
-        bins = [[i] for i in whole.tolist()] + [[int(rest[i]) for i in b] for b in pack_lengths(lengths[rest].tolist(), capacity)]
+        packed, steps = pack_lengths(lengths[rest].tolist(), capacity)
+        bins = [[i] for i in whole.tolist()] + [[int(rest[i]) for i in b] for b in packed]
         seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         for k, b in enumerate(bins):
             size = lengths[b]
             seq[b] = k
             off[b] = np.cumsum(size) - size
-        return pdf.assign(sequence_id=seq + (pdf["_shard"].to_numpy().astype(np.int64) << 32), offset=off).drop(columns="_shard")
+        return pdf.assign(sequence_id=seq + (pdf["_shard"].to_numpy().astype(np.int64) << 32), offset=off, search_steps=steps).drop(columns=["_shard", "_order"])
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(max(1, shards))).cast("int")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return pieces.withColumn("_shard", shard).groupBy("_shard").applyInPandas(run, schema)
+    # by all that a piece is, so that rows of one id, or of none, are dealt apart
+    mixed = F.xxhash64(*key)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long, search_steps long"
+    return pieces.withColumn("_shard", F.pmod(mixed, F.lit(max(1, shards))).cast("int")).withColumn("_order", F.shiftright(mixed, 20)).groupBy("_shard").applyInPandas(run, schema)
 
 
 def shard_count(docs: DataFrame) -> int:
@@ -191,7 +219,7 @@ def shard_count(docs: DataFrame) -> int:
 
 
 def pack_documents(docs: DataFrame, **tokens) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of each document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, search_steps of each piece of each document."""
     capacity = tokens.get("capacity", CAPACITY)
     pieces = tokenise(docs, **tokens).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(pieces, shard_count(docs), capacity=capacity)
