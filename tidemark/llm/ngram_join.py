@@ -3,11 +3,14 @@
 The global n-gram order runs from rare to common (by a fixed-size sketch of
 document counts over all rows) and then by hash.  A document's rarest n-grams, its
 prefix, must share an entry with that of every document it links with; lists of
-documents by prefix n-gram give candidates.  A document with more n-grams of its own
+documents by prefix n-gram give candidates.  Lists that the sketch says may hold more
+than one in OFTEN of all documents are not gathered: what is wanted of them is
+aggregated before the shuffle and joined back.  A document with more n-grams of its own
 than a link allows is in no list.  For the candidates the global order
-is cut into FRAGMENTS ranges: each document's set becomes one segment for each
-range, overlaps are counted range by range, and the partial counts are summed for
-each pair, which makes the test exact.
+is cut into FRAGMENTS ranges: each document's set becomes one row for each range that
+it has n-grams in, keyed by range and document; overlaps are counted range by range,
+each in a partition of its own, and the partial counts are summed for each pair, which
+makes the test exact.
 
 Only classes are wanted, so pairs within one class need no second link.  Exact
 copies are one candidate.  In a first round each list's most central member is
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import Scratch, materialise
+from tidemark.llm.store import Scratch, join_facts, materialise
 
 N = 5
 PERCENT = 80
@@ -45,6 +48,8 @@ FRAGMENTS = 8
 #: The sketch has 2**SKETCH_BITS counters, whatever the size of the input.
 SKETCH_BITS = 22
 _BLOCKS = 64
+#: A list of more than one in this many documents is hot.
+OFTEN = 256
 
 
 def ngram_sets(c: K.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +118,7 @@ def _order(grams: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
     return (levels[_bucket(grams, bits)].astype(np.uint64) << np.uint64(56)) | (K.mix64(grams) >> np.uint64(8))
 
 
-def _prefixes(n: int, percent: int, levels, bits: int):
+def _prefixes(n: int, percent: int, levels, bits: int, often: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         for b in batches:
@@ -127,13 +132,14 @@ def _prefixes(n: int, percent: int, levels, bits: int):
                 length = np.minimum(size, size - (size * percent + 99) // 100 + 1)
                 at = K.ragged(first, length)
                 of = np.repeat(np.arange(len(size)), length)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(grams[at])), pa.array(keys[c.lo + of]), pa.array(size[of].astype(np.int32))], ["_h", "_key", "_n"])
+                hot = table[_bucket(grams[at], bits)] >= often
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(grams[at])), pa.array(keys[c.lo + of]), pa.array(size[of].astype(np.int32)), pa.array(hot)], ["_h", "_key", "_n", "_often"])
 
     return run
 
 
 def _segments(n: int, cuts: np.ndarray, levels, bits: int):
-    """Each document's set, cut at `cuts` of the global order."""
+    """Each document's set, cut at `cuts` of the global order: a row for each range that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -144,10 +150,11 @@ def _segments(n: int, cuts: np.ndarray, levels, bits: int):
                 k = len(cuts) + 1
                 group = doc * k + part
                 order = np.argsort(group, kind="stable")
-                edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=(c.hi - c.lo) * k))))
-                inner = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(K.signed(grams[order])))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (c.hi - c.lo) * k + 1, k, dtype=np.int32)), inner)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, c.hi - c.lo), lists], ["_key", "_grams"])
+                size = np.bincount(group, minlength=(c.hi - c.lo) * k)
+                some = np.flatnonzero(size)
+                edges = np.concatenate(([0], np.cumsum(size[some])))
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(K.signed(grams[order])))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.lo + some // k)), pa.array((some % k).astype(np.int32)), lists], ["_key", "_range", "_grams"])
 
     return run
 
@@ -179,10 +186,22 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = plain.select("_id", "_key", "_text").repartition("_key")
     head = plain.where("_id is not null and _md5 is not null").groupBy("_md5").agg(F.min(F.struct("_id", "_key")).alias("s")).select("_md5", F.col("s._key").alias("_head"))
     firsts = head.select(F.col("_head").alias("_key"))
-    found = rows.join(firsts.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_prefixes(n, percent, levels, sketch_bits), "_h long, _key long, _n int")
-    over = Window.partitionBy("_h")
-    lists = found.repartition("_h").withColumn("_first", F.min("_key").over(over)).withColumn("_last", F.max("_key").over(over)).where("_first < _last")
-    lists = scratch.save(lists.select("_h", "_key", "_n"), "ngram-lists")
+    documents = measured.where("block is null").count()
+    often = int(4 * np.log2(1 + max(1, documents // OFTEN)))
+
+    def per_list(df: DataFrame, **wanted: Column) -> DataFrame:
+        """df with aggregates over each list; lists that may be hot are aggregated before the shuffle."""
+        over = Window.partitionBy("_h")
+        calm = df.where("not _often").repartition("_h")
+        for name, what in wanted.items():
+            calm = calm.withColumn(name, what.over(over))
+        hot = df.where("_often")
+        facts = hot.groupBy("_h").agg(*(what.alias(name) for name, what in wanted.items()), F.count("*").alias("_size"))
+        return calm.unionByName(join_facts(hot, facts, "_h", "_size", documents).drop("_size"))
+
+    found = rows.join(firsts.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_prefixes(n, percent, levels, sketch_bits, often), "_h long, _key long, _n int, _often boolean")
+    lists = per_list(found, _first=F.min("_key"), _last=F.max("_key")).where("_first < _last")
+    lists = scratch.save(lists.select("_h", "_key", "_n", "_often"), "ngram-lists")
     # How much of a document's prefix others share: the text that copies were made from has no n-gram of its own.
     central = lists.groupBy("_key", "_n").agg(F.count("*").alias("k")).select("_key", (F.col("k") * 1000 / (F.col("_n") * (100 - percent) / 100 + 1)).cast("int").alias("_central"))
     lists = scratch.save(lists.join(central, "_key"), "ngram-lists")
@@ -193,26 +212,27 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) whose overlaps, counted fragment by fragment and summed, reach the similarity."""
         ends = pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).distinct()
-        parts = rows.join(ends.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_segments(n, cuts, levels, sketch_bits), "_key long, _grams array<array<long>>")
+        parts = rows.join(ends.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_segments(n, cuts, levels, sketch_bits), "_key long, _range int, _grams array<long>")
         parts = scratch.save(parts, "ngram-segments")
-        left = parts.select(F.col("_key").alias("a"), F.col("_grams").alias("_ga"))
-        right = parts.select(F.col("_key").alias("b"), F.col("_grams").alias("_gb"))
-        partial = F.zip_with("_ga", "_gb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
-        shared = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0).cast("long"), lambda t, k: t + k).alias("k"))
+        left = parts.select(F.col("_key").alias("a"), "_range", F.col("_grams").alias("_ga"))
+        right = parts.select(F.col("_key").alias("b"), "_range", F.col("_grams").alias("_gb"))
+        each = pairs.withColumn("_range", F.explode(F.array(*(F.lit(k) for k in range(fragments)))))
+        partial = each.join(right, ["b", "_range"]).join(left, ["a", "_range"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_ga", "_gb")).alias("k"))
+        shared = partial.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
         return shared.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
     def pairs_of(df: DataFrame) -> DataFrame:
         return df.select(F.least("_key", "_p._key").alias("a"), F.greatest("_key", "_p._key").alias("b"), F.when(F.col("_key") < F.col("_p._key"), F.col("_n")).otherwise(F.col("_p._n")).cast("long").alias("na"), F.when(F.col("_key") < F.col("_p._key"), F.col("_p._n")).otherwise(F.col("_n")).cast("long").alias("nb")).distinct()
 
     # Stars: each list's most central member with the others.
-    pivot = F.max(F.struct("_central", "_key", "_n")).over(over)
-    stars = scratch.save(pairs_of(lists.repartition("_h").withColumn("_p", pivot).where(F.col("_key") != F.col("_p._key")).where(alike("_n", "_p._n"))), "ngram-stars")
+    pivot = F.max(F.struct("_central", "_key", "_n"))
+    stars = scratch.save(pairs_of(per_list(lists, _p=pivot).where(F.col("_key") != F.col("_p._key")).where(alike("_n", "_p._n"))), "ngram-stars")
     links = scratch.save(verified(stars), "ngram-links")
     classes = connected_components(links.toDF("u", "v"), scratch)
 
     # Lists whose members are still in different components.
     placed = lists.join(classes.select(F.col("id").alias("_key"), "component"), "_key", "left").withColumn("_c", F.coalesce("component", "_key"))
-    placed = placed.repartition("_h").withColumn("_c1", F.min("_c").over(over)).withColumn("_c2", F.max("_c").over(over)).where("_c1 < _c2").select("_h", "_key", "_n", "_c")
+    placed = per_list(placed, _c1=F.min("_c"), _c2=F.max("_c")).where("_c1 < _c2").select("_h", "_key", "_n", "_c")
     placed = scratch.save(placed, "ngram-mixed")
 
     # What is left: all pairs of one list whose ends are in different components.
@@ -238,5 +258,5 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     members = plain.select("_id", "_key", "_md5").join(head, "_md5", "left").join(sizes, "_key", "left").join(classes.select(F.col("id").alias("_head"), "component"), "_head", "left")
     members = materialise(members.select("_id", F.col("n").alias("_n"), F.when(F.col("_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "_head")).alias("_class")), "ngram-members")
     scratch.drop()
-    least = members.where("_class is not null").groupBy("_class").agg(F.min("_id").alias("_least"))
-    return members.join(least, "_class", "left").select(F.col("_id").alias("doc_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))
+    least = members.where("_class is not null").groupBy("_class").agg(F.min("_id").alias("_least"), F.count("*").alias("_size"))
+    return join_facts(members, least, "_class", "_size", documents).select(F.col("_id").alias("doc_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))

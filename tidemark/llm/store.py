@@ -53,6 +53,21 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, *, share: int = 256) -> DataFrame:
+    """rows with the columns of facts, which has at most one row for each key (none: nulls).
+
+    size is a column of facts: how many rows have the key; total is about all of them.
+    Keys with more than one in `share` of all rows are at most `share`, or what total
+    falls short by: they are broadcast, so that no task gets all rows of a hot key.
+    """
+    hot = facts.where(F.col(size) > F.lit(max(1, total // share)))
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    calm = marked.where(f"_hot is null and `{key}` is not null").drop("_hot").join(facts, key, "left")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields if f.name != key]
+    out = marked.where("_hot").drop("_hot").join(F.broadcast(hot), key).unionByName(calm)
+    return out.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, *none))
+
+
 class Passed:
     """Columns that a row-wise operator hands on as they are; the text is not sent to Python twice."""
 
