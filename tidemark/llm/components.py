@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import Scratch, join_facts
+from tidemark.llm.store import Scratch
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """Points neighbours at the smallest node of each neighbourhood; the neighbourhoods of hubs are aggregated before the shuffle and not gathered in one task."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Points neighbours at the smallest node of each neighbourhood, which is found by an aggregate; Spark splits the join of a hub that is too large for one task."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("_size")).withColumn("low", F.least("low", "u"))
-    near = join_facts(both, low, "u", "_size", total).drop("_size")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+    near = both.join(low, "u")
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
@@ -23,11 +23,11 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component (the smallest id reachable) of every node of edges (u long, v long); reads tables of the scratch."""
     edges = scratch.save(edges.where("u != v").distinct(), "cc")
-    count, seen = edges.count(), None
+    seen = None
     while True:
-        edges = scratch.save(_star(_star(edges, True, 2 * count), False, count), "cc")
+        edges = scratch.save(_star(_star(edges, True), False), "cc")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
         if now == seen or not now[0]:
             break
-        count, seen = now[0], now
+        seen = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
