@@ -27,14 +27,14 @@ def human_bytes(n: Column) -> Column:
 def tokenizer_tag(name: Column) -> Column:
     """The family and version where the name has one, else a slug of its last part."""
     base = F.lower(F.element_at(F.split(F.regexp_replace(name, "/+$", ""), "/"), -1))
-    family = F.regexp_extract(base, r"(qwen[0-9.]+)", 1)
+    family = F.regexp_extract(base, r"^(qwen[0-9.]+)", 1)
     slug = F.regexp_replace(F.regexp_replace(base, "[^a-z0-9.]+", "-"), "^-+|-+$", "")
     return F.when(family != "", family).otherwise(slug)
 
 
 def char_label(c: Column) -> Column:
     """U+XXXX and the character itself, if it can be printed."""
-    code = F.concat(F.lit("U+"), F.lpad(F.hex(F.unicode(c) if hasattr(F, "unicode") else F.ascii(c)), 4, "0"))
+    code = F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"))
     return F.when(c.rlike(r"^[\p{L}\p{M}\p{N}\p{P}\p{S} ]$"), F.concat(code, F.lit(" '"), c, F.lit("'"))).otherwise(code)
 
 

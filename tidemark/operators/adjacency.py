@@ -7,6 +7,8 @@ controls are averaged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,16 +127,21 @@ def _draw(seed: int, *parts: str) -> Column:
 
 
 def bootstrap(records: DataFrame, *, n_blocks: int = 20, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """lo, hi of T in percent over resampled blocks; picks come from hashes, so that any engine can repeat them."""
+    """lo, hi of T in percent over resampled blocks; picks come from hashes, so that any engine can repeat them.
+
+    Of fewer than two boundaries both are NaN; a resample without any bits before counts as 0.
+    """
     spark = records.sparkSession
     b = blocks(records, n_blocks)
     nb = F.broadcast(b.agg(F.count("*").alias("_nb")))
     draws = spark.range(n_boot).select(F.col("id").alias("i")).join(nb).withColumn("d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
     pick = F.pmod(F.conv(F.substring(_draw(seed, "i", "d"), 1, 8), 16, 10).cast("bigint"), F.col("_nb")).cast("int")
-    stat = draws.withColumn("b", pick).join(F.broadcast(b), "b").groupBy("i").agg((100 * F.sum("t") / F.sum("pre")).alias("x"))
+    stat = draws.withColumn("b", pick).join(F.broadcast(b), "b").groupBy("i").agg(F.when(F.sum("pre") == 0, 0.0).otherwise(100 * F.try_divide(F.sum("t"), F.sum("pre"))).alias("x"))
     ranked = stat.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("x", 9), "i")) - 1)
     lo, hi = int(alpha / 2 * n_boot), min(n_boot - 1, int((1 - alpha / 2) * n_boot))
-    return ranked.agg(F.max(F.when(F.col("r") == lo, F.col("x"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("x"))).alias("hi"))
+    out = ranked.agg(F.max(F.when(F.col("r") == lo, F.col("x"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("x"))).alias("hi"))
+    few = F.broadcast(records.agg((F.count("*") < 2).alias("_few")))
+    return out.join(few).select(*(F.when(F.col("_few"), F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")))
 
 
 def permutation(records: DataFrame, *, n_perm: int = 1000, seed: int = 0, order: str = "k") -> DataFrame:
@@ -148,6 +155,17 @@ def permutation(records: DataFrame, *, n_perm: int = 1000, seed: int = 0, order:
     return sums.join(obs).agg(((1 + F.sum((F.col("x") >= F.col("_obs")).cast("int"))) / (n_perm + 1)).alias("p"))
 
 
+def null_sample(records: DataFrame, *, n_perm: int = 2000, seed: int = 0, order: str = "k") -> DataFrame:
+    """i, t_pct: T in percent under each sign flip of the permutation test, 0 without any bits before."""
+    spark = records.sparkSession
+    r = gains(records).select(F.col(order).alias("k"), F.round(F.col("t") * 1e6).cast("bigint").alias("t"), "adj_pre")
+    pre = F.broadcast(r.agg(F.sum("adj_pre").alias("_pre")))
+    odd = F.conv(F.substring(_draw(seed, "i", "k"), 1, 1), 16, 10).cast("int") % 2 == 1
+    flips = spark.range(n_perm).select(F.col("id").alias("i")).crossJoin(F.broadcast(r.select("k", "t")))  # draws x sampled boundaries, both bounded
+    sums = flips.groupBy("i").agg(F.sum(F.when(odd, -F.col("t")).otherwise(F.col("t"))).alias("x")).join(pre)
+    return sums.select("i", F.when(F.col("_pre") == 0, 0.0).otherwise(F.try_divide(F.col("x") / 1e4, F.col("_pre"))).alias("t_pct"))
+
+
 def leave_one_out(records: DataFrame, n_blocks: int = 20) -> DataFrame:
     """lobo_min: the smallest T in percent when one block is left out."""
     b = blocks(records, n_blocks)
@@ -157,10 +175,13 @@ def leave_one_out(records: DataFrame, n_blocks: int = 20) -> DataFrame:
 
 
 def verdict(t_pct: Column, g_adj_pct: Column, t_share: Column, p: Column, lo: Column, lobo: Column, all_positive: Column) -> tuple[Column, Column]:
-    """(verdict, reasons) of the ladder: significance, direction, robustness, then materiality."""
-    weak = F.array_compact(F.array(F.when(~(p < P_MAX), F.lit("not significant")), F.when(~(lo > 0), F.lit("interval includes zero")), F.when(~(t_pct > 0), F.lit("not positive")), F.when(~(g_adj_pct > 0), F.lit("the update does not help what follows"))))
-    hard = F.array_compact(F.array(F.when(~all_positive, F.lit("direction differs between datasets")), F.when(~(lobo > 0), F.lit("rests on one block"))))
-    small = ~((t_pct >= T_PCT_MIN) & F.coalesce(t_share >= T_SHARE_MIN, F.lit(False)))
+    """(verdict, reasons) of the ladder: significance, direction, robustness, then materiality. Null and NaN pass no step."""
+    def yes(x: Column, *of: Column) -> Column:
+        return F.coalesce(x, F.lit(False)) & ~reduce(lambda a, b: a | b, (F.coalesce(F.isnan(c.cast("double")), F.lit(False)) for c in of))
+
+    weak = F.array_compact(F.array(F.when(~yes(p < P_MAX, p), F.lit("not significant")), F.when(~yes(lo > 0, lo), F.lit("interval includes zero")), F.when(~yes(t_pct > 0, t_pct), F.lit("not positive")), F.when(~yes(g_adj_pct > 0, g_adj_pct), F.lit("the update does not help what follows"))))
+    hard = F.array_compact(F.array(F.when(~F.coalesce(all_positive, F.lit(False)), F.lit("direction differs between datasets")), F.when(~yes(lobo > 0, lobo), F.lit("rests on one block"))))
+    small = ~(yes(t_pct >= T_PCT_MIN, t_pct) & yes(t_share >= T_SHARE_MIN, t_share))
     name = F.when((F.size(weak) > 0) | (F.size(hard) > 0), "FAIL").when(small, "SIGNIFICANT-BUT-SMALL").otherwise("PASS")
     why = F.when(F.size(weak) > 0, weak).when(F.size(hard) > 0, hard).when(small, F.array(F.lit("below the material size"))).otherwise(F.array().cast("array<string>"))
     return name, why

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +14,30 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def running_before(df: DataFrame, value: Column, *, keys: tuple[str, ...], order: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Adds the sum of value over earlier rows (by the integer column order) of the same keys.
+def running_before(df: DataFrame, value: Column, *, keys: tuple[str, ...], order: str, out: str, ties: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Adds the sum of value over earlier rows (by the integer column order, then ties) of the same keys.
 
     Sums of blocks of the order column first, so that no single task sorts a whole stream.
+    Null keys are a key of their own; rows without an order come first, in one block.
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_value", value)
     totals = blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return blocked.join(starts, [*keys, "_block"]).withColumn(out, (F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("bigint")).drop("_block", "_value", "_start")
+    starts = totals.select(*(F.col(k).alias(f"_at_{k}") for k in (*keys, "_block")), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in (*keys, "_block")))
+    joined = blocked.join(starts, same).withColumn(out, (F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("bigint"))
+    return joined.drop("_block", "_value", "_start", *(f"_at_{k}" for k in (*keys, "_block")))
 
 
 def as_stream(docs: DataFrame, *, stream: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
-    """stream, seq, data (UTF-8 bytes), start (byte offset in the stream); null text is empty."""
+    """stream, seq, data (UTF-8 bytes), start (byte offset in the stream), one row per row of docs; null text is empty.
+
+    Rows without a stream are a stream of their own (null); of rows with one order value the
+    lesser bytes come first; rows without an order value come first of all.
+    """
     rows = docs.select(F.col(stream).cast("string").alias("stream"), F.col(order).cast("bigint").alias("seq"), F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias("data"))
-    sizes = rows.select("stream", "seq", F.octet_length("data").alias("size"))
-    starts = running_before(sizes, F.col("size").cast("bigint"), keys=("stream",), order="seq", out="start").select("stream", "seq", "start")
-    return rows.join(starts, ["stream", "seq"])
+    return running_before(rows, F.octet_length("data").cast("bigint"), keys=("stream",), order="seq", out="start", ties=("data",))
 
 
 def segments(stream: DataFrame, width: int) -> DataFrame:

@@ -80,8 +80,13 @@ def rate_break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _curve(spark, sf_dir)
-    return rate.check_layout(c.select("run", F.lit("static").alias("mode"), "chunk", "length").union(c.select("run", F.lit("online"), "chunk", "length")))
+    """Chunks as sizes alone lay them out, against those that were counted and coded."""
+    sizes = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("run")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
+    width = SCHEDULE.chunk
+    plan = sizes.where("size > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) div {width}"))))
+    plan = plan.select("run", F.lit("static").alias("mode"), "chunk", F.least(F.lit(width).cast("bigint"), F.col("size") - F.col("chunk") * width).alias("length"))
+    coded = _curve(spark, sf_dir).select("run", F.lit("online").alias("mode"), "chunk", "length")
+    return rate.check_layout(plan.union(coded))
 
 
 def rate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +242,7 @@ ORACLE_SQL = {
     "rate_rolling": S.query(S.COUNTS, _ST, S.PRIOR, _CURVE, select="SELECT run, chunk, round(online / length, 6) AS rate, round(avg(online / length) OVER (PARTITION BY run ORDER BY chunk ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS rolling FROM curve"),
     "rate_cumulative": S.query(S.COUNTS, _ST, S.PRIOR, _CURVE, select="SELECT run, chunk, round(sum(static - online) OVER (PARTITION BY run ORDER BY chunk), 6) AS saved FROM curve"),
     "rate_break_even": S.query(S.COUNTS, _ST, S.PRIOR, _CURVE, select="SELECT run, min(chunk) FILTER (saved > 0) AS first FROM (SELECT run, chunk, sum(static - online) OVER (PARTITION BY run ORDER BY chunk) AS saved FROM curve) GROUP BY run"),
-    "rate_layout": S.query(S.COUNTS, select="SELECT stream AS run, true AS same_layout FROM cnt GROUP BY 1"),
+    "rate_layout": S.query(S.COUNTS, "co AS (SELECT stream AS run, chunk, sum(c) AS length FROM cnt GROUP BY ALL)", "si AS (SELECT stream AS run, max(start + len) AS size FROM placed GROUP BY 1)", "pl AS (SELECT run, chunk, least(512, size - chunk * 512) AS length FROM (SELECT run, size, unnest(range(((size + 511) // 512)::BIGINT)) AS chunk FROM si))", select="SELECT coalesce(pl.run, co.run) AS run, bool_and(pl.length IS NOT DISTINCT FROM co.length) AS same_layout FROM pl FULL JOIN co ON pl.run = co.run AND pl.chunk = co.chunk GROUP BY 1"),
     "rate_summary": S.query(S.COUNTS, _ST, S.PRIOR, _CURVE, select="SELECT run, sum(length)::BIGINT AS length, floor(sum(static) / 8)::BIGINT AS static_payload, floor(sum(online) / 8)::BIGINT AS online_payload, round(sum(static) / sum(length), 6) AS static_rate, round(sum(online) / sum(length), 6) AS online_rate, round(sum(static) - sum(online), 6) AS saved, round((sum(static) - sum(online)) / sum(static) * 100, 6) AS delta_pct FROM curve GROUP BY run"),
     "gk_records": S.query(*_GKQ, select="SELECT run, phase, curr_bytes AS curr_tokens, curr_bytes, round(curr_pre, 6) AS curr_pre, round(curr_post, 6) AS curr_post, round(curr_base, 6) AS curr_base, next_bytes AS next_tokens, next_bytes, round(next_pre, 6) AS next_pre, round(next_post, 6) AS next_post FROM bd"),
     "gk_boundary_units": S.query(*_GKQ, select=" UNION ALL ".join(f"SELECT run, phase, '{u}' AS unit, round({_ratio('g', g)}, 6) AS g, round({_ratio('din', d)}, 6) AS din, round({_ratio('regret', r)}, 6) AS regret FROM bd" for u, g, d, r in (("rel", "next_pre", "curr_pre", "curr_base"), ("bpb", "next_bytes", "curr_bytes", "curr_bytes"), ("bpt", "next_bytes", "curr_bytes", "curr_bytes")))),

@@ -101,6 +101,11 @@ def adjacency_permutation(spark, sf_dir):
     return A.permutation(_main(spark, sf_dir), n_perm=1000, seed=3).select(S.q6(F.col("p")).alias("p"))
 
 
+def adjacency_null(spark, sf_dir):
+    """T of 2,000 sign flips."""
+    return A.null_sample(_main(spark, sf_dir), n_perm=2000, seed=3).select("i", S.q6(F.col("t_pct")).alias("t_pct"))
+
+
 def adjacency_lobo(spark, sf_dir):
     return A.leave_one_out(_main(spark, sf_dir), 10).select(S.q6(F.col("lobo_min")).alias("lobo_min"))
 
@@ -114,7 +119,7 @@ def adjacency_verdict(spark, sf_dir):
     return x.select(name.alias("verdict"), F.array_join(why, "; ").alias("reasons"))
 
 
-QUERIES = {f.__name__: f for f in (mixed_stream_blocks, domain_of_interval, branch_domains, adjacency_plan, adjacency_scores, adjacency_agg, adjacency_bootstrap, adjacency_permutation, adjacency_lobo, adjacency_verdict)}
+QUERIES = {f.__name__: f for f in (mixed_stream_blocks, domain_of_interval, branch_domains, adjacency_plan, adjacency_scores, adjacency_agg, adjacency_bootstrap, adjacency_permutation, adjacency_null, adjacency_lobo, adjacency_verdict)}
 
 _O = "CASE lang " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(LANGS)) + " END"
 _MIX = f"""
@@ -174,6 +179,7 @@ ORACLE_SQL = {
     "adjacency_agg": S.query(*_ALL, select=f"SELECT domain, {_AGG} GROUP BY domain UNION ALL SELECT 'pooled', {_AGG}"),
     "adjacency_bootstrap": S.query(*_ALL, _BOOT, select="SELECT round(max(x) FILTER (r = 25), 6) AS lo, round(max(x) FILTER (r = 975), 6) AS hi FROM br"),
     "adjacency_permutation": S.query(*_ALL, _PERM, select="SELECT round(p, 6) AS p FROM pv"),
+    "adjacency_null": S.query(*_ALL, _PERM.replace("range(1000)", "range(2000)"), select="SELECT i, round(x / 10000.0::DOUBLE / (SELECT sum(adj_pre) FROM mn), 6) AS t_pct FROM pm"),
     "adjacency_lobo": S.query(*_ALL, _LOBO, select="SELECT round(lobo, 6) AS lobo_min FROM lb"),
     "adjacency_verdict": S.query(*_ALL, _BOOT, _PERM, _LOBO, """x AS (SELECT (SELECT 100 * sum(t) / sum(adj_pre) FROM mn) AS tp, (SELECT 100 * sum(g_adj) / sum(adj_pre) FROM mn) AS gp, (SELECT CASE WHEN sum(g_adj) > 0 THEN sum(t) / sum(g_adj) END FROM mn) AS ts,
     (SELECT p FROM pv) AS p, (SELECT max(x) FILTER (r = 25) FROM br) AS lo, (SELECT lobo FROM lb) AS lobo, (SELECT bool_and(d > 0) FROM (SELECT sum(t) AS d FROM mn GROUP BY domain)) AS same),

@@ -9,6 +9,7 @@ from tidemark.functions import texts as T
 from tidemark.operators import chunking as C
 from tidemark.operators import streams
 from tidemark.plans import sqltext as S
+from tidemark.sources import readers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +87,14 @@ def coding_order_permuted(spark, sf_dir):
 
 
 def coding_order_restored(spark, sf_dir):
-    """The permuted order sorted back by the stored chunk number is the natural order."""
-    p = C.permuted(_chunks(spark, sf_dir), 7)
-    back = p.withColumn("again", F.row_number().over(Window.partitionBy("stream").orderBy("chunk")) - 1)
-    return back.groupBy("stream").agg(F.bool_and(F.col("again") == F.col("chunk")).alias("restored"), F.count("*").alias("n"))
+    """Hashes of chunks as they are coded, in permuted order, and brought back: of the sequence as coded and as restored."""
+    parts = streams.segments(_stream(spark, sf_dir), 512).groupBy("stream", F.col("unit").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("start", F.hex("data").alias("h")))).alias("p"))
+    coded = C.permuted(parts.select("stream", "chunk", F.md5(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("h")), 7)
+    # the decoder knows the order from the chunks' numbers and the seed alone
+    order = C.permuted(_chunks(spark, sf_dir), 7).select("stream", "coded_at", F.col("chunk").alias("place"))
+    back = coded.select("stream", "coded_at", "h").join(order, ["stream", "coded_at"])
+    chain = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "h"))), lambda x: x["h"]), ""))
+    return back.groupBy("stream").agg(chain("coded_at").alias("as_coded"), chain("place").alias("restored"), F.count("*").alias("n"))
 
 
 def prefix_cap_bytes(spark, sf_dir):
@@ -131,7 +136,7 @@ def changed_chunks(spark, sf_dir):
 
 
 def tokenizer_tag(spark, sf_dir):
-    names = ["Qwen/Qwen3-1.7B", "models/qwen2.5-7b/", "Org/Some_Model v2", "gpt2", "a/b/--X--"]
+    names = ["Qwen/Qwen3-1.7B", "models/qwen2.5-7b/", "Org/Some_Model v2", "gpt2", "a/b/--X--", "org/my-qwen2"]
     rows = spark.createDataFrame([(n,) for n in names], "name string")
     return rows.select("name", T.tokenizer_tag(F.col("name")).alias("tag"))
 
@@ -155,10 +160,9 @@ def row_to_text(spark, sf_dir):
 
 
 def records_skip_then_take(spark, sf_dir):
-    """Skip 5 records, take 40, then drop empty texts: fewer than 40 may remain."""
-    r = F.row_number().over(Window.orderBy("doc_id"))
-    few = _docs(spark, sf_dir).orderBy("doc_id").limit(45).withColumn("r", r).where("r > 5")
-    return few.where("length(trim(text)) > 100").select("doc_id", F.col("n_chars"))
+    """Skip 5 records, take 40, then drop empty texts (every seventh is made empty): fewer than 40 remain."""
+    some = _docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text")).otherwise(F.lit("")))
+    return readers.records(some, "doc_id", skip=5, n=40).select("doc_id", "n_chars")
 
 
 def domain_spans(spark, sf_dir):
@@ -244,7 +248,11 @@ ORACLE_SQL = {
     "update_boundaries": S.query(_CH, "n AS (SELECT stream, count(*)::BIGINT AS n_chunks FROM ch GROUP BY 1)", select="SELECT stream, n_chunks, unnest(range(4, n_chunks, 4)) AS boundary FROM n"),
     "training_windows": S.query(_CH, "g AS (SELECT stream, chunk // 4 AS k, sum(bytes)::BIGINT AS n FROM ch GROUP BY ALL HAVING count(*) = 4)", select="SELECT * FROM (SELECT stream, k, w AS window, least(768, n - w * 768)::BIGINT AS length FROM (SELECT *, unnest(range((n + 767) // 768)) AS w FROM g)) WHERE length >= 2"),
     "coding_order_permuted": S.query(_CH, select="SELECT stream, chunk, row_number() OVER (PARTITION BY stream ORDER BY md5('7:' || chunk), chunk) - 1 AS coded_at FROM ch"),
-    "coding_order_restored": S.query(_CH, select="SELECT stream, true AS restored, count(*)::BIGINT AS n FROM ch GROUP BY 1"),
+    "coding_order_restored": S.query(
+        S.COUNTS.rsplit("cnt AS", 1)[0].rstrip().rstrip(","),
+        "hs AS (SELECT stream, pos // 512 AS chunk, md5(string_agg(upper(lpad(to_hex(sym), 2, '0')), '' ORDER BY pos)) AS h FROM bytes_at GROUP BY ALL)",
+        select="SELECT stream, md5(string_agg(h, '' ORDER BY md5('7:' || chunk), chunk)) AS as_coded, md5(string_agg(h, '' ORDER BY chunk)) AS restored, count(*)::BIGINT AS n FROM hs GROUP BY 1",
+    ),
     "prefix_cap_bytes": "WITH p AS (SELECT source AS stream, octet_length(encode(coalesce(text, ''))) AS n, sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(coalesce(text, ''))) AS start FROM documents) SELECT stream, count(*)::BIGINT AS docs, sum(least(n, 10000 - start))::BIGINT AS bytes FROM p WHERE start < 10000 GROUP BY 1",
     "max_chunks_whole_item": "WITH p AS (SELECT source AS stream, doc_id, ceil(octet_length(encode(text)) / 512.0)::BIGINT AS n FROM documents), q AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY stream ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM p) SELECT stream, count(*)::BIGINT AS items, sum(n)::BIGINT AS chunks FROM q WHERE seen = 0 OR seen + n <= 64 GROUP BY 1",
     "context_tail": "SELECT conv_id, turn, nullif(right(string_agg(coalesce(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 32), '') AS tail FROM conversations",
@@ -252,12 +260,12 @@ ORACLE_SQL = {
     "char_diff_subs": "SELECT old, new, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, '')) AS old, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')) AS new FROM documents) WHERE old <> new GROUP BY ALL",
     "char_diff_multiset": "WITH a AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY 1), b AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[ \n]+', '_', 'g'), '')) AS c FROM documents) WHERE c <> '' GROUP BY 1) SELECT coalesce(a.c, b.c) AS char, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)::BIGINT AS removed, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)::BIGINT AS added FROM a FULL JOIN b ON a.c = b.c WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)",
     "changed_chunks": "WITH d AS (SELECT doc_id, text AS a, replace(text, 'the', 'THE') AS b, (length(text) + 2047) // 2048 AS n FROM documents), x AS (SELECT doc_id, n, (substr(a, i * 2048 + 1, 2048) <> substr(b, i * 2048 + 1, 2048))::INT AS ch FROM (SELECT *, unnest(range(n)) AS i FROM d)) SELECT d.doc_id, d.n::BIGINT AS n_chunks, coalesce(sum(ch), 0)::BIGINT AS n_changed FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id, d.n",
-    "tokenizer_tag": "SELECT name, tag FROM (VALUES ('Qwen/Qwen3-1.7B', 'qwen3'), ('models/qwen2.5-7b/', 'qwen2.5'), ('Org/Some_Model v2', 'some-model-v2'), ('gpt2', 'gpt2'), ('a/b/--X--', 'x')) AS t(name, tag)",
+    "tokenizer_tag": "SELECT name, tag FROM (VALUES ('Qwen/Qwen3-1.7B', 'qwen3'), ('models/qwen2.5-7b/', 'qwen2.5'), ('Org/Some_Model v2', 'some-model-v2'), ('gpt2', 'gpt2'), ('a/b/--X--', 'x'), ('org/my-qwen2', 'my-qwen2')) AS t(name, tag)",
     "parse_size": "SELECT size, bytes::BIGINT AS bytes FROM (VALUES ('10', 10), ('1_000', 1000), ('10K', 10240), ('2.5mb', 2621440), ('1G', 1073741824), ('3gb', 3221225472), ('0.5k', 512)) AS t(size, bytes)",
     "human_bytes": "SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN printf('%.1fMB', n_chars / 1048576.0) WHEN n_chars >= 1024 THEN printf('%.1fKB', n_chars / 1024.0) ELSE printf('%.1fB', n_chars::DOUBLE) END AS shown FROM documents",
     "autopick_text_column": "SELECT * FROM (SELECT 'text' AS \"column\", sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'lang', sum(length(lang))::BIGINT FROM documents UNION ALL SELECT 'source', sum(length(source))::BIGINT FROM documents) ORDER BY chars DESC, 1 LIMIT 1",
     "row_to_text": "SELECT conv_id, turn, md5(concat_ws(chr(10), nullif(role, ''), nullif(text, ''))) AS md5, md5(role || text) AS joined FROM conversations",
-    "records_skip_then_take": "SELECT doc_id, n_chars FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 40 OFFSET 5) WHERE length(trim(text)) > 100",
+    "records_skip_then_take": "SELECT doc_id, n_chars FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 40 OFFSET 5) WHERE doc_id % 7 <> 0 AND text <> ''",
     "domain_spans": "WITH a AS (SELECT doc_id, lang, doc_id // 1000 AS block, (lang IS DISTINCT FROM lag(lang) OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id))::INT AS new FROM documents), b AS (SELECT *, sum(new) OVER (PARTITION BY block ORDER BY doc_id)::BIGINT AS span FROM a) SELECT block, span, lang, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*)::BIGINT AS n FROM b GROUP BY block, span, lang",
     "length_stats": S.query("s AS (SELECT lang, count(*)::BIGINT AS n, avg(n_chars) AS m, floor(quantile_cont(n_chars, 0.5))::BIGINT AS p50, floor(quantile_cont(n_chars, 0.9))::BIGINT AS p90, floor(quantile_cont(n_chars, 0.95))::BIGINT AS p95, floor(quantile_cont(n_chars, 0.99))::BIGINT AS p99, max(n_chars) AS max FROM documents GROUP BY 1)", select="SELECT lang, n, round(m, 6) AS mean, p50, p90, p95, p99, max, round(p99 / greatest(p50, 1), 6) AS tail_ratio FROM s"),
     "length_batches": "SELECT source, batch, count(*)::BIGINT AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM (SELECT source, n_chars, (row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1) // 8 AS batch FROM documents) GROUP BY ALL",

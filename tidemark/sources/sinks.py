@@ -56,8 +56,8 @@ def json_summary(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
-def guarded(rows: DataFrame, path: str, *, marker: str = "_SUCCESS", force: bool = False) -> None:
-    """Writes Parquet; a folder that holds files but no marker of an earlier run is refused unless forced."""
+def guarded(rows: DataFrame, path: str, *, marker: str = "_tidemark", force: bool = False) -> None:
+    """Writes Parquet and then the marker; a folder that holds files but no marker of an earlier run is refused unless forced."""
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -65,3 +65,4 @@ def guarded(rows: DataFrame, path: str, *, marker: str = "_SUCCESS", force: bool
     if fs.exists(at) and len(fs.listStatus(at)) and not fs.exists(jvm.org.apache.hadoop.fs.Path(path, marker)) and not force:
         raise FileExistsError(f"{path} holds files that no earlier run has marked as its own")
     rows.write.mode("overwrite").parquet(path)
+    fs.create(jvm.org.apache.hadoop.fs.Path(path, marker)).close()
