@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,54 @@ def widest_text_column(df: DataFrame) -> DataFrame:
     sums = df.agg(*(F.coalesce(F.sum(F.char_length(n)), F.lit(0)).alias(n) for n in names))
     rows = sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column"), F.col(n).cast("bigint").alias("chars")) for n in names))).alias("x")).select("x.*")
     return rows.orderBy(F.desc("chars"), "column").limit(1)
+
+
+def normalised(df: DataFrame, column: str, step) -> DataFrame:
+    """Adds normalised and passes: step applied once, and once more where that changes the text again, but no more."""
+    once, twice = step(F.col(column)), step(F.col("_once"))
+    rows = df.withColumn("_once", once).withColumn("normalised", twice)
+    return rows.withColumn("passes", F.when(F.col("_once").eqNullSafe(F.col("normalised")), 1).otherwise(2)).drop("_once")
+
+
+def pending(wanted: DataFrame, done: DataFrame, *, key: str = "dataset", force: bool = False) -> DataFrame:
+    """What has no summary yet; with force everything."""
+    return wanted if force else wanted.join(done.select(key), key, "left_anti")
+
+
+def top_substitutions(df: DataFrame, a: str, b: str, *, by: str, top: int) -> DataFrame:
+    """by, old, new, n: the commonest place-by-place replacements of each group."""
+    pairs = F.arrays_zip(F.split(F.col(a), "").alias("x"), F.split(F.col(b), "").alias("y"))
+    found = df.where((F.char_length(a) == F.char_length(b)) & (F.col(a) != F.col(b))).select(by, F.explode(F.filter(pairs, lambda p: p["x"] != p["y"])).alias("p"))
+    n = found.groupBy(by, F.col("p.x").alias("old"), F.col("p.y").alias("new")).agg(F.count("*").alias("n"))
+    over = Window.partitionBy(by).orderBy(F.desc("n"), "old", "new")  # a row for each pair of characters
+    return n.withColumn("_r", F.row_number().over(over)).where(F.col("_r") <= top).drop("_r")
+
+
+#: The least probability that a normalised distribution gives.
+TINY = 1e-30
+
+
+def pdf_normalised(df: DataFrame, mass: str, *keys: str) -> DataFrame:
+    """Adds p: mass over its sum, at least TINY, brought to a sum of one; without any mass an error. Keys have few rows each."""
+    over = Window.partitionBy(*keys)
+    total = F.sum(F.col(mass).cast("double")).over(over)
+    checked = F.when(total > 0, total).otherwise(F.raise_error(F.lit("a distribution without mass")).cast("double"))
+    rows = df.withColumn("_w", F.greatest(F.col(mass) / checked, F.lit(TINY)))
+    return rows.withColumn("p", F.col("_w") / F.sum("_w").over(over)).drop("_w")
+
+
+def padded_bits(bits: Column) -> Column:
+    """Bits with zeros before them, to whole bytes."""
+    return F.lpad(bits, (8 * F.ceil(F.length(bits) / 8)).cast("int"), F.lit("0"))
+
+
+def bits_to_bytes(bits: Column) -> Column:
+    """Bytes of padded bits."""
+    eights = F.transform(F.sequence(F.lit(0), (F.length(bits) / 8).cast("int") - 1), lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+    return F.unhex(F.array_join(F.when(F.length(bits) > 0, eights).otherwise(F.array().cast("array<string>")), ""))
+
+
+def bytes_to_bits(data: Column) -> Column:
+    """Eight bits of each byte."""
+    digits = F.filter(F.split(F.hex(data), "(?<=\\G..)"), lambda x: x != "")
+    return F.array_join(F.transform(digits, lambda x: F.lpad(F.conv(x, 16, 2), 8, "0")), "")

@@ -109,3 +109,8 @@ def with_domain(boundaries: DataFrame, blocks: DataFrame) -> DataFrame:
     b = F.broadcast(blocks.select("dataset", "byte_start", "byte_end"))
     last = F.broadcast(blocks.agg(F.max_by("dataset", "byte_end").alias("_last")))
     return at.join(b, (F.col("_at") >= F.col("byte_start")) & (F.col("_at") < F.col("byte_end")), "left").join(last).withColumn("domain", F.coalesce("dataset", "_last", F.lit("stream"))).drop("_at", "_last", "dataset", "byte_start", "byte_end")
+
+
+def percent(mean_g: Column, n: Column, skip: Column) -> Column:
+    """A mean gain over n boundaries in percent of what skipping every update costs; 0 where that is 0."""
+    return F.when(skip == 0, 0.0).otherwise(mean_g * n / skip * 100)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,41 @@ def collapse_series(points: DataFrame, metric: str, floor: float = FLOOR) -> Dat
     out = points.withColumn("diverged", F.coalesce(F.col("delta_pct") < floor, F.lit(False)))
     place = F.when(~F.col("diverged"), F.sum((~F.col("diverged")).cast("int")).over(w))
     return out.withColumns({"place": place, "shown": F.when(F.col("diverged"), F.greatest(F.col(metric), F.lit(floor))).otherwise(F.col(metric))})
+
+
+def signature(runs: DataFrame) -> DataFrame:
+    """Adds run (the file's stem, or its folder where it is result.json), model, data, lora_r, lr, chunk_size: of the configuration, else of the arguments."""
+    stem, folder = F.regexp_extract("path", r"([^/]+)\.json$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    of = lambda k, t: F.coalesce(F.get_json_object("config", f"$.{k}"), F.get_json_object("args", f"$.{k}")).cast(t)
+    kinds = {"model": "string", "data": "string", "lora_r": "int", "lr": "double", "chunk_size": "int"}
+    return runs.withColumns({"run": F.when(stem == "result", folder).otherwise(stem)} | {k: of(k, t) for k, t in kinds.items()})
+
+
+def rate_label(lr: Column) -> Column:
+    """A rate as it is shown: 0 is an update that is skipped."""
+    return F.when(lr == 0, F.lit("skip")).when(lr.isNotNull(), F.regexp_replace(F.format_string("%.6f", lr), "0+$", ""))
+
+
+def run_label(model: str, data: str, rank: str, chunk: str, lr: str) -> Column:
+    """Model, data, rank, chunk and rate of a run, without what is not known."""
+    part = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(name), F.col(c).cast("string")))
+    rate = F.when(F.col(lr).isNotNull(), F.concat(F.lit("lr "), rate_label(F.col(lr))))
+    return F.concat_ws(" ", F.col(model), F.col(data), part("r", rank), part("c", chunk), rate)
+
+
+def run_manifest(grid: DataFrame, one: Callable[[dict], dict], *, done: DataFrame | None = None) -> DataFrame:
+    """run_id, status, value: `one` called with each row that is not done; an error, or an end without a value, is a failure of that row alone."""
+    rows = grid if done is None else grid.join(done.select("run_id"), "run_id", "left_anti")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                try:
+                    value = one(row).get("value")
+                except Exception:  # a row's error is its status
+                    value = None
+                out.append((row["run_id"], "failed" if value is None else "finished", value))
+            yield pd.DataFrame(out, columns=["run_id", "status", "value"])
+
+    return rows.mapInPandas(run, "run_id string, status string, value double")

@@ -50,3 +50,27 @@ def domain_at(units: DataFrame, blocks: DataFrame, at: str) -> DataFrame:
     last = F.broadcast(blocks.agg(F.max_by("dataset", "byte_end").alias("_last")))
     joined = units.join(b, (F.col(at) >= F.col("byte_start")) & (F.col(at) < F.col("byte_end")), "left").join(last)
     return joined.withColumn("domain", F.coalesce("dataset", "_last", F.lit("stream"))).drop("dataset", "byte_start", "byte_end", "_last")
+
+
+def built(stream: DataFrame, blocks: DataFrame, *, strict: bool = False) -> DataFrame:
+    """order, dataset, bytes, start, at, data: the pieces of each block's prefix, at their place in the mixed stream.
+
+    strict: a source shorter than its target is an error.
+    """
+    plan = blocks
+    if strict:
+        short = F.col("bytes") < F.col("target")
+        plan = plan.withColumn("bytes", F.when(short & (F.col("bytes") == F.col("size")), F.raise_error(F.concat(F.lit("too short: "), F.col("dataset"))).cast("bigint")).otherwise(F.col("bytes")))
+    few = F.broadcast(plan.select("order", "dataset", "bytes", "byte_start"))  # a row for each block of the mix
+    rows = stream.join(few, stream["stream"] == few["dataset"]).where((F.col("start") < F.col("bytes")) & (F.octet_length("data") > 0))
+    cut = F.least(F.octet_length("data").cast("bigint"), F.col("bytes") - F.col("start")).cast("int")
+    return rows.select("order", "dataset", "bytes", "start", (F.col("byte_start") + F.col("start")).alias("at"), F.col("data").substr(F.lit(1), cut).alias("data"))
+
+
+def verified(pieces: DataFrame) -> DataFrame:
+    """order, dataset, bytes, pieces, md5 (of the pieces' digests in order), exact (a prefix without gaps), valid (UTF-8), switches (between domains)."""
+    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.md5(F.hex("data")).alias("h")))), lambda x: x["h"]), ""))
+    n = F.octet_length("data").cast("bigint")
+    per = pieces.groupBy("order", "dataset", "bytes").agg(F.count("*").alias("pieces"), digest.alias("md5"), F.sum(n).alias("_sum"), F.max(F.col("start") + n).alias("_end"), F.bool_and(F.is_valid_utf8(F.col("data").cast("string"))).alias("valid"))
+    blocks = F.broadcast(per.agg((F.count("*") - 1).alias("switches")))
+    return per.withColumn("exact", (F.col("_sum") == F.col("bytes")) & (F.col("_end") == F.col("bytes"))).join(blocks).select("order", "dataset", "bytes", "pieces", "md5", "exact", "valid", "switches")

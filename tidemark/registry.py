@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that define QUERIES (name -> function) and ORACLE_SQL (name -> SQL).
-MODULES: tuple[str, ...] = ("tidemark.plans.coding", "tidemark.plans.texts", "tidemark.plans.probes", "tidemark.plans.ledger", "tidemark.plans.events", "tidemark.plans.media")
+MODULES: tuple[str, ...] = ("tidemark.plans.coding", "tidemark.plans.texts", "tidemark.plans.probes", "tidemark.plans.ledger", "tidemark.plans.events", "tidemark.plans.media", "tidemark.plans.runs")
 
 
 def _gather(attribute: str) -> dict:
