@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from dataclasses import asdict, dataclass, fields
 
 PROBES = ("measure_gk", "branch_lrs", "adjacency_probe")
@@ -103,6 +104,15 @@ class RunConfig:
             out["ctx_tokens"] = self.ctx_tokens
         return out
 
+    @staticmethod
+    def environment() -> dict:
+        """What can change a coder's arithmetic: the versions that a decoder must share."""
+        import platform
+
+        import numpy
+
+        return {"python": platform.python_version(), "numpy": numpy.__version__, "byte_order": sys.byteorder}
+
     def settings_hash(self, role: str) -> str:
         return settings_hash(self.settings(role))
 

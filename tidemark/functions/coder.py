@@ -218,3 +218,16 @@ def decompress(data: bytes, *, interval: int, online: bool, settings: dict) -> b
 def wav(pcm: bytes, rate: int = 8000) -> bytes:
     """8-bit mono PCM with its 44-byte header."""
     return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate, 1, 8) + b"data" + struct.pack("<I", len(pcm)) + pcm
+
+
+def archive_meta(config, role: str, environment: dict) -> dict:
+    """What an archive says of its making: role, modality, settings and environment."""
+    return {"role": role, "modality": config.modality, "settings": config.settings_hash(role), "environment": environment}
+
+
+def check_meta(meta: dict, config, role: str, environment: dict) -> None:
+    """An error that names the first difference, in the order role, modality, settings, environment."""
+    want = archive_meta(config, role, environment)
+    for name in ("role", "modality", "settings", "environment"):
+        if meta.get(name) != want[name]:
+            raise ValueError(f"the archive's {name} differs: {meta.get(name)!r} is not {want[name]!r}")

@@ -70,6 +70,13 @@ def summary(boundaries: DataFrame, unit: str = "bpb") -> DataFrame:
     )
 
 
+def total(boundaries: DataFrame) -> DataFrame:
+    """n, harmful_fraction, stream_g, transfer_efficiency over all runs: one row, of zeros without any boundary."""
+    g = with_gains(boundaries)
+    zero = F.lit(0.0)
+    return g.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("g") < 0).cast("int")), zero).alias("harmful_fraction"), F.coalesce(ratio(F.sum("g"), F.sum("next_bytes")), zero).alias("stream_g"), F.coalesce(ratio(F.sum("g"), F.sum("din")), zero).alias("transfer_efficiency"))
+
+
 def cumulative_regret(boundaries: DataFrame) -> DataFrame:
     """run, phase, cum_regret (null counts as 0), cum_rel (over the base bits so far)."""
     w = Window.partitionBy("run").orderBy("phase").rowsBetween(Window.unboundedPreceding, 0)

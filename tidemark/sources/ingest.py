@@ -80,5 +80,5 @@ def sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("multiLine", "true").json(path)
-    return rows.where("_bad is null").drop("_bad")
+    rows = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.select("r.*").where("_bad is null").drop("_bad")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import RunConfig
+from tidemark.functions import coder
+from tidemark.operators.streams import segments
+
 
 def roll(rows: DataFrame, limit: int, *, key: str, order: str, size: str) -> DataFrame:
     """Adds shard: a shard that holds `limit` bytes or more is full, so one may exceed it by a record.
@@ -66,3 +73,31 @@ def guarded(rows: DataFrame, path: str, *, marker: str = "_tidemark", force: boo
         raise FileExistsError(f"{path} holds files that no earlier run has marked as its own")
     rows.write.mode("overwrite").parquet(path)
     fs.create(jvm.org.apache.hadoop.fs.Path(path, marker)).close()
+
+
+def write_archives(stream: DataFrame, config: RunConfig, path: str, *, block: int = 65_536) -> None:
+    """A table of archives: stream, block, meta (JSON) and blob of each stretch of block bytes, coded on line."""
+    settings = {"hash": config.settings_hash("online"), "interval": config.train_interval}
+    meta = json.dumps(coder.archive_meta(config, "online", config.environment()), sort_keys=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = b"".join(pdf.sort_values("start")["data"])
+        chunks = [data[i : i + config.chunk_size] for i in range(0, len(data), config.chunk_size)]
+        blob = coder.compress(chunks, interval=config.train_interval, online=True, settings=settings)
+        return pd.DataFrame({"stream": pdf["stream"].iloc[:1], "block": pdf["unit"].iloc[:1], "meta": [meta], "blob": [blob]})
+
+    segments(stream, block).groupBy("stream", "unit").applyInPandas(run, "stream string, block long, meta string, blob binary").write.parquet(path)
+
+
+def read_archives(spark: SparkSession, path: str, config: RunConfig) -> DataFrame:
+    """stream, block, data: archives decoded; one that was made otherwise than the configuration says is an error."""
+    settings = {"hash": config.settings_hash("online"), "interval": config.train_interval}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for meta in pdf["meta"].unique():
+                coder.check_meta(json.loads(meta), config, "online", config.environment())
+            data = [coder.decompress(bytes(b), interval=config.train_interval, online=True, settings=settings) for b in pdf["blob"]]
+            yield pdf[["stream", "block"]].assign(data=data)
+
+    return spark.read.parquet(path).mapInPandas(run, "stream string, block long, data binary")
