@@ -467,6 +467,64 @@ def test_audit_sees_pairs_beside_a_hot_group(monkeypatch):
     assert hnsw_dedup.find_links(rare, rare, np.ones(2600, np.int64), np.arange(2600), 0.98).near.sum() == 2
 
 
+# --- solvers of 3 and 9
+
+
+def small_rows(rng, n=60, m=12):
+    y = (np.arange(n) % 3 == 0).astype(float)
+    index = [np.unique(np.concatenate((rng.integers(0, m, 4), [0] if y[i] and rng.random() < 0.8 else [1]))) for i in range(n)]
+    return index, y
+
+
+def test_counterfactual_solver_by_plain_descent():
+    rng = np.random.default_rng(4)
+    index, y = small_rows(rng)
+    m, l1, penalty = 12, 0.01, 5.0
+    plus, minus = [np.array([2]), np.array([3, 4])], [np.array([5]), np.zeros(0, np.int64)]
+    x = np.zeros((len(y), m))
+    for i, at in enumerate(index):
+        x[i, at] = 1
+    d = np.zeros((2, m))
+    for r, (p, q) in enumerate(zip(plus, minus)):
+        d[r, p], d[r, q] = 1, -1
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+
+    def cost(w, b):
+        z = x @ w + b
+        return (weight * np.logaddexp(0, np.where(y > 0, -z, z))).sum() + l1 * np.abs(w).sum() + penalty / max(len(y), 2) / 2 * ((d @ w) ** 2).sum()
+
+    w, b = toxicity.fit(index, y, m, toxicity._Sparse(plus, minus), l1=l1, penalty=penalty, steps=600)
+    v, c, rate = np.zeros(m), 0.0, 0.05
+    for _ in range(30_000):  # plain proximal descent with one small step size
+        p = 1 / (1 + np.exp(-(x @ v + c)))
+        g = x.T @ (weight * (p - y)) + penalty / max(len(y), 2) * d.T @ (d @ v)
+        v = v - rate * g
+        v = np.sign(v) * np.maximum(np.abs(v) - rate * l1, 0)
+        c -= rate * (weight * (p - y)).sum()
+    assert cost(w, b) <= cost(v, c) + 1e-4 and np.abs(w - v).max() < 0.2
+    free, _ = toxicity.fit(index, y, m, toxicity._Sparse(plus, minus), l1=l1, penalty=0.0, steps=600)
+    assert ((d @ w) ** 2).sum() <= ((d @ free) ** 2).sum() + 1e-9
+
+
+def test_dual_coordinate_descent_by_projected_gradient():
+    rng = np.random.default_rng(5)
+    index, y = small_rows(rng)
+    scale = rng.normal(size=12) + 2
+    cost = np.where(y > 0, 1.0, 0.5)
+    w, bias = quality_classifier.dual_coordinate_descent(index, scale, y, cost, rounds=3000)
+    sign = np.where(y > 0, 1.0, -1.0)
+    x = np.zeros((len(y), 13))
+    for i, at in enumerate(index):
+        x[i, at], x[i, 12] = scale[at] / math.sqrt(len(at)), 1
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(len(y))
+    for _ in range(60_000):  # the dual, by projected gradient
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    best = x.T @ (sign * alpha)
+    primal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - sign * (x @ v))).sum()
+    assert primal(np.append(w, bias)) <= primal(best) * 1.001 and np.abs(np.append(w, bias) - best).max() < 0.02
+
+
 # --- 8
 
 
