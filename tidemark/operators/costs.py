@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.streams import byte_counts
+from tidemark.operators.streams import running_before
 
 ALPHA = 0.5
 UNIT = 1_000_000
@@ -50,22 +50,24 @@ def interval_sizes(counts: DataFrame, s: Schedule) -> DataFrame:
     per = per.select("stream", "k", F.least(F.lit(width).cast("bigint"), F.col("total") - F.col("k") * width).alias("bytes"))
     out = per.withColumn("chunks", F.ceil(F.col("bytes") / s.chunk).cast("bigint"))
     out = out.withColumn("is_tail", F.col("chunks") < s.interval)
-    return _with_state(out, F.col("bytes"), ("stream",), s, "seen")
+    # all intervals before one are full; the update after interval i adds all up to i, so that interval j counts k - j times
+    times = F.col("k") * (F.col("k") + 1) / 2 if s.all_seen else F.col("k")
+    return out.withColumn("seen", times.cast("double") * width * s.strength)
 
 
-def _with_state(df: DataFrame, value: Column, keys: tuple[str, ...], s: Schedule, out: str) -> DataFrame:
-    """The weighted sum of value over the intervals before k (a partial tail is last, so it is never among them)."""
-    before = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    plain = F.coalesce(F.sum(value).over(before), F.lit(0)).cast("double")
+def _with_state(sparse: DataFrame, s: Schedule) -> DataFrame:
+    """Adds n: the weighted sum of c over the intervals before k (a partial tail is last, so it is never among them)."""
+    keys = ("stream", "sym")
+    out = running_before(sparse, F.col("c"), keys=keys, order="k", out="_n")
     if s.all_seen:
-        # the update after interval i adds all intervals up to i: interval j counts k - j times
-        plain = F.col("k") * plain - F.coalesce(F.sum(value * F.col("k")).over(before), F.lit(0)).cast("double")
-    return df.withColumn(out, plain * s.strength)
+        out = running_before(out, F.col("c") * F.col("k"), keys=keys, order="k", out="_nk")
+        out = out.withColumn("_n", F.col("k") * F.col("_n") - F.col("_nk")).drop("_nk")
+    return out.withColumn("n", F.col("_n").cast("double") * s.strength).drop("_n")
 
 
 def states(counts: DataFrame, s: Schedule, prior: DataFrame | None = None) -> DataFrame:
     """stream, k, sym, c, n (state count before k), prior_n, with the interval's bytes, seen, is_tail and prior_total."""
-    sparse = _with_state(interval_counts(counts, s), F.col("c"), ("stream", "sym"), s, "n")
+    sparse = _with_state(interval_counts(counts, s), s)
     out = sparse.join(interval_sizes(counts, s), ["stream", "k"])
     if prior is None:
         return out.withColumn("prior_n", F.lit(0.0)).withColumn("prior_total", F.lit(0.0))
@@ -109,6 +111,3 @@ def chunk_costs(counts: DataFrame, s: Schedule, prior: DataFrame | None = None)
         F.sum(c * micro_bits(F.col("n") + F.col("prior_n"), F.col("seen") + F.col("prior_total"))).alias("online"),
     )
 
-
-def documents_counts(stream: DataFrame, s: Schedule) -> DataFrame:
-    return byte_counts(stream, s.chunk)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.streams import running_before
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -78,10 +80,11 @@ def total(boundaries: DataFrame) -> DataFrame:
 
 
 def cumulative_regret(boundaries: DataFrame) -> DataFrame:
-    """run, phase, cum_regret (null counts as 0), cum_rel (over the base bits so far)."""
-    w = Window.partitionBy("run").orderBy("phase").rowsBetween(Window.unboundedPreceding, 0)
-    gains = with_gains(boundaries)
-    out = gains.withColumns({"cum_regret": F.sum(F.coalesce("regret", F.lit(0.0))).over(w), "_base": F.sum(F.coalesce("curr_base", F.lit(0.0))).over(w)})
+    """run, phase, cum_regret (null counts as 0), cum_rel (over the base bits so far); sums of whole millionths of a bit, in two levels."""
+    out = with_gains(boundaries).select("run", "phase", "regret", "curr_base")
+    for name, of in (("cum_regret", "regret"), ("_base", "curr_base")):
+        own = F.round(F.coalesce(of, F.lit(0.0)) * 1e6).cast("bigint")
+        out = running_before(out, own, keys=("run",), order="phase", out="_before").withColumn(name, (F.col("_before") + own) / 1e6).drop("_before")
     return out.select("run", "phase", "cum_regret", ratio(F.col("cum_regret"), F.col("_base")).alias("cum_rel"))
 
 

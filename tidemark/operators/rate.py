@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.streams import running_before
+
 
 def rate(bits: Column, length: Column) -> Column:
     return F.coalesce(F.try_divide(bits, length), F.lit(0.0))
@@ -18,9 +20,9 @@ def rolling(df: DataFrame, value: str, window: int, *, run: str = "run", order:
 
 
 def cumulative_saving(df: DataFrame, *, run: str = "run", order: str = "chunk") -> DataFrame:
-    """Adds saved: static minus online bits so far."""
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("saved", F.sum(F.col("static") - F.col("online")).over(w))
+    """Adds saved: static minus online bits so far, each in whole millionths, summed in two levels; order is an integer."""
+    own = F.round((F.col("static") - F.col("online")) * 1e6).cast("bigint")
+    return running_before(df, own, keys=(run,), order=order, out="_before").withColumn("saved", (F.col("_before") + own) / 1e6).drop("_before")
 
 
 def break_even(df: DataFrame, *, run: str = "run", order: str = "chunk") -> DataFrame:

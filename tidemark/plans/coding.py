@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import branch, costs, gk, rate, streams
+from tidemark.operators.scratch import materialise
 from tidemark.plans import sqltext as S
 
 SCHEDULE = costs.Schedule()
@@ -14,7 +15,8 @@ RATES = (0.0, 0.25, 1.0, 4.0)
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.byte_counts(streams.as_stream(spark.read.parquet(f"{sf_dir}/documents.parquet")), SCHEDULE.chunk)
+    """Chunk counts of all sources, from a table of their own: most queries need them several times."""
+    return materialise(streams.byte_counts(streams.as_stream(spark.read.parquet(f"{sf_dir}/documents.parquet")), SCHEDULE.chunk), "chunk-counts")
 
 
 def prior(spark: SparkSession, sf_dir: str) -> DataFrame:

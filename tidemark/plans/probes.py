@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import adjacency as A
 from tidemark.operators import branch, costs, mixing, streams
+from tidemark.operators.scratch import materialise
 from tidemark.plans import coding
 from tidemark.plans import sqltext as S
 
@@ -17,6 +18,7 @@ PLAN = {"h": 4, "k": 2, "n_target": 24, "seed": 5}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the four languages of the mix, which alone make the stream; others, and those without a language, are not part of it."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("lang").isin(*LANGS))
     place = F.coalesce(*(F.when(F.col("lang") == x, F.lit(i)) for i, x in enumerate(LANGS)))
     return d.withColumn("place", place)
@@ -42,7 +44,7 @@ def mixed_stream_blocks(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return streams.byte_counts(_mixed(spark, sf_dir), WIDTH, "k").select("k", "sym", "c")
+    return materialise(streams.byte_counts(_mixed(spark, sf_dir), WIDTH, "k").select("k", "sym", "c"), "mixed-counts")
 
 
 def _intervals(spark, sf_dir, counts: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def _intervals(spark, sf_dir, counts: DataFrame) -> DataFrame:
     p, total = F.broadcast(prior.groupBy("sym").agg(F.sum("c").alias("p"))), F.broadcast(prior.agg(F.sum("c").alias("pt")))
     cost = F.col("c") * costs.micro_bits(F.coalesce("p", F.lit(0)), F.coalesce("pt", F.lit(0)))
     per = counts.join(p, "sym", "left").join(total).groupBy("k").agg(F.sum("c").alias("bytes"), F.sum(cost).alias("base"))
-    return mixing.domain_at(per.withColumn("at", F.col("k") * WIDTH), _blocks(spark, sf_dir), "at").select("k", "bytes", "domain", "base")
+    return materialise(mixing.domain_at(per.withColumn("at", F.col("k") * WIDTH), _blocks(spark, sf_dir), "at").select("k", "bytes", "domain", "base"), "intervals")
 
 
 def domain_of_interval(spark, sf_dir):
@@ -83,7 +85,7 @@ def adjacency_scores(spark, sf_dir):
 
 
 def _main(spark, sf_dir):
-    return _records(spark, sf_dir).where(F.col("h") == A.MAIN_H)
+    return materialise(_records(spark, sf_dir).where(F.col("h") == A.MAIN_H), "records")
 
 
 def adjacency_agg(spark, sf_dir):
