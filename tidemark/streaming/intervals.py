@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.scratch import folder
+
 DELAY = "2 days"
 WIDTH = "1 day"
 
@@ -18,9 +20,21 @@ def windowed(events: DataFrame, *, streaming: bool = False) -> DataFrame:
 
 
 def run_available(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Everything that is at the path now, through a streaming query into a memory table; the state is kept in the shared folder."""
+    """Everything that is at the path now, through a streaming query that updates a table; state and table are in the shared folder.
+
+    A window's last update counts. Windows older than the watermark leave the state; a batch that is
+    written twice changes nothing.
+    """
     schema = spark.read.parquet(path).schema
+    base = f"{folder(spark)}/{name}"
+    out = f"{base}/updates"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
     stream = spark.readStream.schema(schema).format("parquet").load(path)
-    q = windowed(stream, streaming=True).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = windowed(stream, streaming=True).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    updates = spark.read.schema("start string, event_type string, n long, total long, batch long").parquet(out)
+    last = updates.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return last.select("start", "event_type", "x.n", "x.total")
