@@ -166,12 +166,20 @@ def _cuts(levels: np.ndarray, fragments: int) -> np.ndarray:
     return np.array(sorted(out), np.uint64)
 
 
-def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per row of docs."""
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: equal for rows of one id and one text."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
+
+
+def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS, sketch_bits: int = SKETCH_BITS, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per row of docs.
+
+    keyed: also row_key, as row_key() gives it, and class_key (null for rows that link with nothing by definition).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     ident, text = F.col(id_col).cast("bigint"), F.col(text_col)
-    plain = docs.select(ident.alias("_id"), F.xxhash64(ident, text).alias("_key"), text.alias("_text"), F.md5(text).alias("_md5"))
+    plain = docs.select(ident.alias("_id"), row_key(id_col, text_col).alias("_key"), text.alias("_text"), F.md5(text).alias("_md5"))
     measured = scratch.save(plain.select("_key", "_text").mapInArrow(_measure(n, sketch_bits), "_key long, n long, block int, salt int, payload binary"), "ngram-sketch")
     table = _levels(measured.where("block is not null").select("block", "salt", "payload"), sketch_bits)
     levels, cuts = spark.sparkContext.broadcast(table), _cuts(table, fragments)
@@ -240,7 +248,8 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     # Classes of rows: each text's head, the head's component, the smallest doc_id of all members.
     members = plain.select("_id", "_key", "_md5").join(head, "_md5", "left").join(sizes, "_key", "left").join(classes.select(F.col("id").alias("_head"), "component"), "_head", "left")
-    members = materialise(members.select("_id", F.col("n").alias("_n"), F.when(F.col("_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "_head")).alias("_class")), "ngram-members")
+    members = materialise(members.select("_id", "_key", F.col("n").alias("_n"), F.when(F.col("_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "_head")).alias("_class")), "ngram-members")
     scratch.drop()
     least = members.where("_class is not null").groupBy("_class").agg(F.min("_id").alias("_least"), F.count("*").alias("_size"))
-    return join_facts(members, least, "_class", "_size", documents).select(F.col("_id").alias("doc_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))
+    extra = [F.col("_key").alias("row_key"), F.col("_class").alias("class_key")] if keyed else []
+    return join_facts(members, least, "_class", "_size", documents).select(F.col("_id").alias("doc_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"), *extra)
