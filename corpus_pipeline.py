@@ -1,7 +1,11 @@
 """A training-data pipeline over `documents`: each stage keeps the columns of documents, the last packs.
 
-Every stage works on all that its predecessor kept, and judges that alone. Rows that
-share a doc_id are judged one by one, but go or stay together as near copies.
+Every stage works on all that its predecessor kept, and judges that alone. Rows are judged
+one by one, also when they share a doc_id; of rows with one id and one text one stays
+among near copies. Null, empty and very long texts are judged by the operators' own rules:
+the base rules reject what has too few words; later stages keep texts without words. Ties
+go by doc_id and then by row key. An empty table gives an empty result. Columns other than
+those of documents are not handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +40,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies."""
-    heads = ngram_join.join_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads.hint("shuffle_hash"), "doc_id", "left_semi")
-    # rows without an id are in no class
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each class of near copies: of those with the smallest id the one with the least row key.
+
+    Rows without words or without an id are in no class and stay; of rows with one id and one text one stays.
+    """
+    classes = ngram_join.join_classes(docs, keyed=True)
+    heads = classes.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("h")).select("h.row_key")
+    alone = classes.where("class_key is null and doc_id is not null").select("row_key")
+    stay = heads.union(alone).distinct()
+    kept = docs.where("doc_id is not null").withColumn("row_key", ngram_join.row_key()).join(stay.hint("shuffle_hash"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
