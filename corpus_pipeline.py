@@ -48,8 +48,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     heads = classes.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("h")).select("h.row_key")
     alone = classes.where("class_key is null and doc_id is not null").select("row_key")
     stay = heads.union(alone).distinct()
-    kept = docs.where("doc_id is not null").withColumn("row_key", ngram_join.row_key()).join(stay.hint("shuffle_hash"), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    kept = docs.where("doc_id is not null").withColumn("row_key", ngram_join.row_key()).join(stay.hint("shuffle_hash"), "row_key", "left_semi")
+    kept = kept.groupBy("row_key").agg(F.any_value(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
