@@ -34,3 +34,14 @@ def test_odd_rows_stay_whole(spark):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         ids = sorted(r.doc_id for r in stage(spark, odd, SF).where("doc_id is not null").collect())
         assert {7001, 7002} <= set(ids), name
+
+
+def test_near_copies_keep_one_row(spark):
+    words = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"other{k}" for k in range(40))
+    rows = [(5, words), (5, words), (6, words), (3, other), (5, other), (7, ""), (7, ""), (8, None), (None, words), (None, words), (9, words + " tail")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key string")
+    kept = corpus_pipeline.near_copies(spark, docs, SF)
+    assert sorted(kept.columns) == sorted(corpus_pipeline.COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(5, words), (3, other), (7, ""), (8, None), (None, words), (None, words)], key=str)
