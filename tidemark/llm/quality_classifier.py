@@ -6,8 +6,11 @@ descent; its weights are then mixed with their mean size (interpolation with nai
 Bayes).  Margins become probabilities by a logistic curve fitted on margins from
 two-fold cross-fitting, so that it is not fitted on rows the model has seen.
 
-Defined cases: null or empty text scores by the bias alone; with no labelled row,
-or one class alone, every score is that class's share (0.5 for none).
+Defined cases: null or empty text scores by the bias alone; texts of any length are
+read whole; repeated rows are scored each, and equal texts alike; of rows that repeat a
+labelled id one is learned from; ties of features go by their hash; with no labelled row,
+or one class alone, every score is that class's share (0.5 for none); an empty table gives
+an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.linear_text import Recipe, score_rows, training_rows
-from tidemark.llm.quality_rules import labelled_sample
+from tidemark.llm.quality_rules import labelled_sample, labelled_texts
 
 MAX_ROWS = 6_000
 THRESHOLD = 0.7
@@ -86,7 +89,7 @@ def _margins(index, weights, bias):
 def classify(docs: DataFrame, labels: DataFrame, *, column: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every row of docs; fitted on labelled rows that are not held out."""
     picked = labelled_sample(labels, column, max_rows)
-    sample = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    sample = labelled_texts(docs, picked, id_col, text_col)
     rows = training_rows(sample, RECIPE)
     y = rows.y
     if not len(y) or y.min() == y.max():

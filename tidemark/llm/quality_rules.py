@@ -206,6 +206,12 @@ def labelled_sample(labels: DataFrame, column: str, rows: int, held_out: bool =
     return known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
 
+def labelled_texts(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _y, _text of the picked labels, so many rows at most: of rows that repeat an id the one with the least text."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    return rows.groupBy("_id").agg(F.min(F.struct("_text", "_y")).alias("r")).select("_id", "r._y", "r._text")
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for c in K.chunks(b.column(1)):
@@ -216,7 +222,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, *, column: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     picked = labelled_sample(labels, column, max_rows)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    rows = labelled_texts(docs, picked, id_col, text_col)
     got = rows.select("_y", "_text").mapInArrow(_features, "_y double, _x array<double>").toPandas()
     x = np.array(got["_x"].tolist(), float).reshape(len(got), len(FEATURES))
     # rows arrive in any order; sums of floats should not depend on it

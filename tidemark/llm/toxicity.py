@@ -11,8 +11,11 @@ one hostile word in a long text counts as in a short one.
 The bias is not learned on the class shares of the sample alone: margins become
 probabilities by a logistic curve fitted on cross-fitted margins.
 
-Defined cases: null or empty text scores by the bias; with no labelled row, or one
-class alone, every score is that class's share (0.5 for none).
+Defined cases: null or empty text scores by the bias; texts of any length are read
+whole; repeated rows are scored each, and equal texts alike; of rows that repeat a labelled
+id one is learned from; ties of features go by their hash; with no labelled row, or one
+class alone, every score is that class's share (0.5 for none); an empty table gives an
+empty result; other columns are handed on only where `carry` names them.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels as K
 from tidemark.llm.linear_text import Recipe, Rows, features, score_rows, training_rows
 from tidemark.llm.quality_classifier import _platt
-from tidemark.llm.quality_rules import labelled_sample
+from tidemark.llm.quality_rules import labelled_sample, labelled_texts
 
 MAX_ROWS = 8_000
 THRESHOLD = 0.3
@@ -135,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", max_rows
     """(known features, weights, function from margins to scores); None for the features if there is nothing to learn from."""
     hits = labelled_sample(labels.where(F.col(column) == 1), column, max_rows // 2)
     rest = labelled_sample(labels.where(F.col(column) == 0), column, max_rows // 2)
-    sample = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(hits.union(rest)), "_id")
+    sample = labelled_texts(docs, hits.union(rest), id_col, text_col)
     mentions = _term_features(terms)
     rows = training_rows(sample, RECIPE, max_features=FEATURES, swap=swap_terms(terms), always=np.unique(np.concatenate(mentions)))
     y = rows.y
