@@ -317,25 +317,30 @@ def deduplicate(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int
     nodes = scratch.save(nodes.withColumn("_group", F.concat_ws("/", "_label", F.size("_v").cast("string"))), "vector-nodes")
     shards = nodes.groupBy("_group").agg(F.ceil(F.count("*") / shard).cast("int").alias("_shards"))
     dealt = nodes.join(shards, "_group").withColumn("_at", F.pmod("_node", F.col("_shards")).cast("int"))
-    # a node in its own shard, and as a query in every shard of its label
-    both = dealt.select("_group", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"), "_at", "_node", "_v", "_weight")
-    both = both.withColumn("_own", F.col("_shard") == F.col("_at")).drop("_at")
+    # each shard meets the queries of each shard, itself among them, in a group of its own: two shards' vectors at most
+    each = F.sequence(F.lit(0), F.col("_shards") - 1)
+    kept = ("_group", "_node", "_v", "_weight")
+    as_nodes = dealt.select(*kept, F.col("_at").alias("_shard"), F.explode(each).alias("_block"), F.lit(True).alias("_own"))
+    as_queries = dealt.select(*kept, F.explode(each).alias("_shard"), F.col("_at").alias("_block"), F.lit(False).alias("_own")).where("_shard != _block")
+    both = as_nodes.unionByName(as_queries)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_node")
         x = np.array(pdf["_v"].tolist(), np.float64)
         own = pdf["_own"].to_numpy()
         name, weight = pdf["_node"].to_numpy(), pdf["_weight"].to_numpy()
-        if not own.any():
+        asks = ~own if len(own) > own.sum() else own  # a shard without another one's queries meets its own
+        if not own.any() or pdf["_shard"].iloc[0] != pdf["_block"].iloc[0] and own.all():
             return pd.DataFrame({"u": [], "v": [], "near": []})
-        same = np.where(own, np.cumsum(own) - 1, -1)
-        got = find_links(x[own], x, weight[own], same, threshold)
+        same = np.arange(own.sum()) if asks is own else np.full(asks.sum(), -1)
+        got = find_links(x[own], x[asks], weight[own], same, threshold)
         some = np.flatnonzero(got.near)
-        u, w = name[got.a], name[own][got.b]
+        names = name[asks]
+        u, w = names[got.a], name[own][got.b]
         # counts have no second end
-        return pd.DataFrame({"u": np.concatenate((name[some], u)), "v": np.concatenate((name[some], w)), "near": np.concatenate((got.near[some], np.zeros(len(u), np.int64)))})
+        return pd.DataFrame({"u": np.concatenate((names[some], u)), "v": np.concatenate((names[some], w)), "near": np.concatenate((got.near[some], np.zeros(len(u), np.int64)))})
 
-    found = scratch.save(both.groupBy("_group", "_shard").applyInPandas(run, "u long, v long, near long"), "vector-links")
+    found = scratch.save(both.groupBy("_group", "_shard", "_block").applyInPandas(run, "u long, v long, near long"), "vector-links")
     direct = found.where("near > 0").groupBy("u").agg(F.sum("near").alias("_near"))
     classes = connected_components(found.where("near = 0").select("u", "v"), scratch)
     placed = nodes.select("_node", "_first", "_weight").join(classes.select(F.col("id").alias("_node"), "component"), "_node", "left").join(direct.select(F.col("u").alias("_node"), "_near"), "_node", "left")
