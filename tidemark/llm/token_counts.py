@@ -13,7 +13,8 @@ header that crosses blocks is whole in the block where its document starts.
 
 Defined cases: an empty file has no document; two separators in a row are an empty
 document; ids after the last separator are a document that is not terminated; null
-text has no tokens; a null doc_id is kept as null; repeated rows are counted each.
+text has no tokens; a null doc_id is kept as null; repeated rows are counted each; an
+empty table has no file and gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SEPARATOR = 49_407
 HEADER = 5
 #: Tokens of a block.
 BLOCK = 1 << 18
-#: Documents of a file at most: Spark reads a file as one value, so files are kept small.
-FILE_DOCUMENTS = 2_000
+#: Documents of a file at most, and bytes, as far as one document allows: Spark reads a file as one value, so files are kept small.
+FILE_DOCUMENTS, FILE_BYTES = 2_000, 1 << 30
 
 
 def _headers(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
@@ -84,7 +85,10 @@ def write_flat(docs: DataFrame, out: str, *, path: str | None = None, separator:
                 yield pa.RecordBatch.from_arrays([raw], ["ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "ids binary")
-    rows.select(F.col("ids").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_DOCUMENTS).option("encoding", "ISO-8859-1").option("lineSep", separator.to_bytes(2, "little").decode("latin-1")).text(out)
+    # a token has a byte of text at least
+    longest = docs.agg(F.max(F.octet_length(text_col))).first()[0] or 0
+    most = min(FILE_DOCUMENTS, max(1, FILE_BYTES // (2 * (longest + HEADER + 1))))
+    rows.select(F.col("ids").cast("string").alias("value")).write.option("maxRecordsPerFile", most).option("encoding", "ISO-8859-1").option("lineSep", separator.to_bytes(2, "little").decode("latin-1")).text(out)
 
 
 def read_blocks(spark: SparkSession, path: str, *, block: int = BLOCK, halo: int = HEADER) -> DataFrame:
