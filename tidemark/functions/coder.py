@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 import struct
+import zlib
+from itertools import accumulate, pairwise
 
 MAGIC = b"TDMK"
-VERSION = 2
+VERSION = 3
 _TOP, _BOTTOM = 1 << 32, 1 << 24
 
 
@@ -165,37 +167,35 @@ def compress(chunks: list[bytes], *, interval: int, online: bool, settings: dict
 
 
 def build(settings: dict, total: int, lengths: list[int], payloads: list[bytes], framing: bytes = b"") -> bytes:
+    """Payloads one after another, then a compressed index of them in JSON, and last the index's size."""
     if len(lengths) != len(payloads):
         raise ValueError("as many payloads as lengths are needed")
-    meta = json.dumps(settings, sort_keys=True).encode()
-    head = MAGIC + bytes([VERSION]) + varint(len(meta)) + meta + varint(len(framing)) + framing + varint(total) + varint(len(lengths))
-    return head + b"".join(varint(n) for n in lengths) + b"".join(varint(len(p)) for p in payloads) + b"".join(payloads)
+    table = [[n, len(p)] for n, p in zip(lengths, payloads, strict=True)]
+    index = zlib.compress(json.dumps({"settings": settings, "symbols": total, "framing": framing.hex(), "chunks": table}, sort_keys=True).encode(), 9)
+    return MAGIC + bytes([VERSION]) + b"".join(payloads) + index + struct.pack(">I", len(index))
 
 
 def parse(data: bytes) -> tuple[dict, bytes, int, list[int], list[bytes]]:
+    """Settings, framing, symbols, and of each chunk its length and payload."""
     if data[:4] != MAGIC:
         raise ValueError("not an archive")
     if data[4] != VERSION:
         raise ValueError(f"archive version {data[4]} is not {VERSION}")
-    n, at = read_varint(data, 5)
-    meta = json.loads(data[at : at + n])
-    at += n
-    n, at = read_varint(data, at)
-    framing, at = data[at : at + n], at + n
-    total, at = read_varint(data, at)
-    count, at = read_varint(data, at)
-    lengths, sizes = [], []
-    for out in (lengths, sizes):
-        for _ in range(count):
-            n, at = read_varint(data, at)
-            out.append(n)
-    if len(data) - at != sum(sizes):
-        raise ValueError("the archive's payloads are not as long as stated")
-    payloads = []
-    for n in sizes:
-        payloads.append(data[at : at + n])
-        at += n
-    return meta, framing, total, lengths, payloads
+    wrong = "the archive's parts are not as long as stated"
+    end = len(data) - 4
+    start = end - struct.unpack(">I", data[end:])[0] if end >= 5 else -1
+    if start < 5:
+        raise ValueError(wrong)
+    try:
+        index = json.loads(zlib.decompress(data[start:end]))
+    except (zlib.error, ValueError) as e:
+        raise ValueError(wrong) from e
+    sizes = [n for _, n in index["chunks"]]
+    if 5 + sum(sizes) != start:
+        raise ValueError(wrong)
+    edges = list(accumulate(sizes, initial=5))
+    payloads = [data[x:y] for x, y in pairwise(edges)]
+    return index["settings"], bytes.fromhex(index["framing"]), index["symbols"], [n for n, _ in index["chunks"]], payloads
 
 
 def decompress(data: bytes, *, interval: int, online: bool, settings: dict) -> bytes:
