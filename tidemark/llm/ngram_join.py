@@ -5,7 +5,7 @@ document counts over all rows) and then by hash.  A document's rarest n-grams, i
 prefix, must share an entry with that of every document it links with; lists of
 documents by prefix n-gram give candidates.  A document with more n-grams of its own
 than a link allows is in no list.  For the candidates the global order
-is cut into FRAGMENTS ranges: each document's set becomes one row for each range that
+is cut into ranges, so many that one holds about FRAGMENT n-grams of a mean document: each document's set becomes one row for each range that
 it has n-grams in, keyed by range and document; overlaps are counted range by range,
 each in a partition of its own, and the partial counts are summed for each pair, which
 makes the test exact.
@@ -42,7 +42,8 @@ from tidemark.llm.store import Scratch, join_facts, materialise
 
 N = 5
 PERCENT = 80
-FRAGMENTS = 8
+#: N-grams of a mean document in one fragment; there are two fragments at least.
+FRAGMENT = 128
 #: The sketch has 2**SKETCH_BITS counters, whatever the size of the input.
 SKETCH_BITS = 22
 _BLOCKS = 64
@@ -171,7 +172,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
 
 
-def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS, sketch_bits: int = SKETCH_BITS, keyed: bool = False) -> DataFrame:
+def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, fragment: int = FRAGMENT, sketch_bits: int = SKETCH_BITS, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs.
 
     keyed: also row_key, as row_key() gives it, and class_key (null for rows that link with nothing by definition).
@@ -182,6 +183,8 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(ident.alias("_id"), row_key(id_col, text_col).alias("_key"), text.alias("_text"), F.md5(text).alias("_md5"))
     measured = scratch.save(plain.select("_key", "_text").mapInArrow(_measure(n, sketch_bits), "_key long, n long, block int, salt int, payload binary"), "ngram-sketch")
     table = _levels(measured.where("block is not null").select("block", "salt", "payload"), sketch_bits)
+    found = measured.where("block is null").agg(F.count("*").alias("rows"), F.avg("n").alias("mean")).first()
+    documents, fragments = int(found["rows"]), max(2, -(-int(found["mean"] or 0) // fragment))
     levels, cuts = spark.sparkContext.broadcast(table), _cuts(table, fragments)
     sizes = measured.where("block is null").select("_key", "n").distinct()
 
@@ -189,7 +192,6 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = plain.select("_id", "_key", "_text").repartition("_key")
     head = plain.where("_id is not null and _md5 is not null").groupBy("_md5").agg(F.min(F.struct("_id", "_key")).alias("s")).select("_md5", F.col("s._key").alias("_head"))
     firsts = head.select(F.col("_head").alias("_key"))
-    documents = measured.where("block is null").count()
     found = rows.join(firsts.hint("shuffle_hash"), "_key", "left_semi").select("_key", "_text").mapInArrow(_prefixes(n, percent, levels, sketch_bits), "_h long, _key long, _n int")
     over = Window.partitionBy("_h")
     lists = found.repartition("_h").withColumn("_first", F.min("_key").over(over)).withColumn("_last", F.max("_key").over(over)).where("_first < _last")
