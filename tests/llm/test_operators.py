@@ -8,9 +8,11 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -675,6 +677,34 @@ def test_lm_learns_and_beats_the_base(spark, monkeypatch):
     assert all(math.isclose(got[k].base_score, again[k].base_score, rel_tol=1e-9) and abs(got[k].score / again[k].score - 1) < 0.1 for k in got)
 
 
+def test_lm_parts_take_little_memory():
+    """Two workers share 1,200 MB with Java's own memory: a part of 50,000 words is worked on in 100 bytes a bit, a bucket's words in less than 20 MB at a time."""
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choices("abcdefgh", k=rng.randrange(4, 14))) for _ in range(20_000)})
+    code, _ = code_of(names)
+    group = pa.table({"word": pa.array(names), "c": pa.array([1 + k % 3 for k in range(len(names))], pa.int64())})
+    share = collections.namedtuple("Shared", "value")
+    border = share((np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
+    bits = len(code.bits_of(mixing.coded_words(chunk_of(names)))[2])
+    kernels._pow_tables(1 << 19)
+
+    def most(run):
+        tracemalloc.start()
+        out = run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    assert most(lambda: lm_scoring._border(share(code))(group))[1] < 100 * bits
+    paths, peak = most(lambda: lm_scoring._paths(share(code), border)(group))
+    assert peak < 100 * bits
+    known = paths.slice(0, len(names)).combine_chunks()
+    (states, size), peak = most(lambda: lm_scoring.full_paths(code, known.column("word").combine_chunks(), known.column("c").to_numpy(), known.column("path").combine_chunks()))
+    assert peak < 20 << 20 and size.sum() == len(states) == bits
+    tree = mixing.word_tree(code, mixing.coded_words(chunk_of(names)), known.column("c").to_numpy())
+    assert (states == mixing.state_of(tree.zeros, tree.ones)).all()
+
+
 def test_lm_scores_very_long_words(spark):
     rng = random.Random(5)
     blob = "".join(rng.choice("0123456789abcdef") for _ in range(100_000))
