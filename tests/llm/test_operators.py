@@ -428,6 +428,56 @@ def test_hnsw(spark):
     assert hnsw_dedup.deduplicate(df.where("false")).isEmpty()
 
 
+def near_pairs(rng, n, size):
+    """Unit vectors, of which the first two fifths are pairs just above the threshold, in steps of any direction."""
+    x = rng.normal(size=(n, size))
+    x[: n // 5] = x[n // 5 : n // 5 * 2] / np.linalg.norm(x[n // 5 : n // 5 * 2], axis=1, keepdims=True)
+    step = rng.normal(size=(n // 5, size))
+    step -= (step * x[: n // 5]).sum(1, keepdims=True) * x[: n // 5]
+    x[: n // 5] += 0.2 * step / np.linalg.norm(step, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_cells_are_asked_by_few_and_lose_no_pair():
+    rng = np.random.default_rng(4)
+    narrow = near_pairs(rng, 6000, 64) * 0.3 + np.ones(64) / 8  # all in one narrow cone
+    for x, most in ((near_pairs(rng, 6000, 64), 4), (near_pairs(rng, 6000, 8), 6), (narrow / np.linalg.norm(narrow, axis=1, keepdims=True), 32)):
+        cells = 32
+        cell, asks = hnsw_dedup.cells_of(x, x.mean(0), cells, 0.98)
+        assert np.bincount(cell, minlength=cells).max() < 6000 / 4
+        # before, every node was a query in every shard
+        assert asks.sum(1).mean() < most
+        a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+        assert len(a) >= 1200
+        met = (cell[a] == cell[b]).astype(int) + asks[a, cell[b]] + asks[b, cell[a]]
+        assert (met == 1).all()
+
+
+def test_a_shard_builds_one_graph_for_all_its_queries(monkeypatch):
+    built = []
+
+    class Counted(hnsw_dedup.Graph):
+        def __init__(self, x):
+            built.append(len(x))
+            super().__init__(x)
+
+    monkeypatch.setattr(hnsw_dedup, "Graph", Counted)
+    x = near_pairs(np.random.default_rng(6), 500, 16)
+    own = np.arange(500) % 5 > 0  # the others are queries; of each pair, one end may be
+    rows = sorted([(key, not o, k) for key in ("a/16/0/0", "b/16/0/0") for k, o in enumerate(own.tolist())])
+    table = pa.table({"_key": [k for k, _, _ in rows], "_own": [not q for _, q, _ in rows], "_node": pa.array([k for _, _, k in rows], pa.int64()), "_v": [x[k].tolist() for _, _, k in rows], "_weight": pa.array([1 + k % 2 for _, _, k in rows], pa.int64())})
+    out = pa.Table.from_batches(list(hnsw_dedup._ask(0.98, 30)(iter(table.to_batches(max_chunksize=70))))).to_pylist()
+    assert built == [400, 400]
+    near = collections.Counter()
+    for r in out:
+        near[r["u"]] += r["near"]
+    linked = x @ x.T >= 0.98
+    np.fill_diagonal(linked, False)
+    linked[np.ix_(~own, ~own)] = False
+    want = 2 * (linked @ (1 + np.arange(500) % 2))  # both keys have the same nodes
+    assert [near[k] for k in range(500)] == want.tolist() and want.any()
+
+
 def test_graph_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 24))

@@ -1,11 +1,20 @@
 """Near-duplicate vectors by one navigable small-world graph per shard.
 
-Equal vectors of a label are one node with a weight.  Nodes are dealt to shards by
-label and hash; a shard holds at most about SHARD nodes, and every node of a label
-is a query against each of that label's shards, so no pair is missed for lying in
-two shards.  A shard's graph has layers: each layer holds a share of the nodes
-below, and a search descends from the top.  Queries walk the graph in lockstep, in
-numpy.
+Equal vectors of a label are one node with a weight.  A label of more nodes than SHARD
+is cut into cells: random directions, and each node lies in the cell of the one it
+leans to most, seen from the label's middle.  Two linked vectors differ by a short step,
+which a random direction sees as a normal deviate: a node is a query in each cell that
+it leans to almost as much as to its own, by SURE deviations of that step (or, in few
+dimensions, by as much as the step can be), once for each two cells.  That is all of
+the search that is not measured by an audit; of links just at the threshold it loses
+less than one in ten thousand, whatever the vectors are, and of closer ones far fewer.
+A cell of more than SHARD nodes is dealt to shards by hash, each of which meets the
+queries of those before it.
+
+A shard's graph is built once, and its queries come to it in runs of SHARD at most.  The
+graph has layers: each layer holds a share of the nodes below, and a search descends
+from the top.  Queries walk the graph in lockstep, in numpy.  The shard's own nodes are
+its first queries.
 
 A shard's beam is widened as long as an audit - evenly spaced queries in hash order,
 each against every vector of the shard, until LINKED of them have a link or none is
@@ -23,10 +32,13 @@ vec_id are nodes of their own with that id; an empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +53,8 @@ AUDITS, LINKED = 256, 64
 NEIGHBOURS = 12
 LAYER_SHARE = 16
 BEAM = 32
+#: Deviations of a linked vector's step that a query looks beyond its cell's border, and nodes that a label's middle is taken from, about.
+SURE, MIDDLE = 4.0, 1000
 #: Beam entries this far below the threshold still join classes, within which all is verified.
 SLACK = 0.015
 
@@ -205,39 +219,54 @@ def _classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Links:
-    """What a shard found: the weight linked to each query, links that span its classes, and the mean share of an audited query's links that it found."""
+    """What a shard found: the weight linked to each query, and by the queries to each node, links that span its classes, and the mean share of an audited query's links that it found."""
 
     near: np.ndarray
+    back: np.ndarray
     a: np.ndarray
     b: np.ndarray
     recall: float
 
 
-def find_links(nodes: np.ndarray, queries: np.ndarray, weights: np.ndarray, same: np.ndarray, threshold: float, recall: float = RECALL) -> Links:
-    """Links of queries with nodes (raw vectors in double precision); same: each query's own node, or -1.
+class Shard:
+    """A graph of nodes (raw vectors in double precision) that is asked for links, run after run of queries.
 
     The walk gives classes of vectors that near entries connect; within a class, every
     query is held against every node in double precision, block by block, so that a
     large group is counted in full without its pairs being listed.
     """
-    unit = nodes / np.linalg.norm(nodes, axis=1, keepdims=True)
-    qunit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    n, m = len(nodes), len(queries)
-    graph = Graph(unit)
-    audit, truth = _audit(nodes, queries, weights, same, threshold)
-    beam = BEAM
-    while True:
-        ids, sims = graph.search(qunit, min(beam, n))
-        rows, cols = np.nonzero((ids >= 0) & (sims >= threshold - SLACK))
-        label = _classes(m + n, np.concatenate((rows, np.flatnonzero(same >= 0))), np.concatenate((m + ids[rows, cols], m + same[same >= 0])))
-        out = _verify(nodes, queries, weights, same, label, threshold)
-        out.recall = float((out.near[audit] / truth).mean()) if len(audit) else 1.0
-        if out.recall >= recall or beam >= n:
-            return out
-        beam *= 2
+
+    def __init__(self, nodes: np.ndarray, weights: np.ndarray, threshold: float, recall: float = RECALL):
+        self.nodes, self.weights, self.threshold, self.recall = nodes, weights, threshold, recall
+        self.graph = Graph(nodes / np.linalg.norm(nodes, axis=1, keepdims=True))
+        self.label = np.arange(len(nodes))  # classes of nodes, as far as the queries until now have shown
+
+    def ask(self, queries: np.ndarray, weights: np.ndarray, same: np.ndarray) -> Links:
+        """weights: of the queries; same: each query's own node, or -1."""
+        qunit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        n, m = len(self.nodes), len(queries)
+        audit, truth = _audit(queries, self.nodes, self.weights, same, self.threshold)
+        beam = BEAM
+        while True:
+            ids, sims = self.graph.search(qunit, min(beam, n))
+            rows, cols = np.nonzero((ids >= 0) & (sims >= self.threshold - SLACK))
+            own = np.flatnonzero(same >= 0)
+            label = _classes(m + n, np.concatenate((rows, own, m + np.arange(n))), np.concatenate((m + ids[rows, cols], m + same[own], m + self.label)))
+            out = _verify(self.nodes, queries, self.weights, weights, same, label, self.threshold)
+            out.recall = float((out.near[audit] / truth).mean()) if len(audit) else 1.0
+            if out.recall >= self.recall or beam >= n:
+                _, first, of = np.unique(label[m:], return_index=True, return_inverse=True)
+                self.label = first[of]
+                return out
+            beam *= 2
+
+
+def find_links(nodes: np.ndarray, queries: np.ndarray, weights: np.ndarray, same: np.ndarray, threshold: float, recall: float = RECALL) -> Links:
+    """Links of one run of queries with nodes; weights: of the nodes; each query weighs 1."""
+    return Shard(nodes, weights, threshold, recall).ask(queries, np.ones(len(queries), np.int64), same)
 
 
-def _audit(nodes: np.ndarray, queries: np.ndarray, weights: np.ndarray, same: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _audit(queries: np.ndarray, nodes: np.ndarray, weights: np.ndarray, same: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Queries that have a link, and the weight linked to each: of evenly spaced ones, stride after stride, until LINKED are found."""
     stride = max(1, len(queries) // AUDITS)
     audit, truth = [], []
@@ -259,9 +288,9 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / (np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :])
 
 
-def _verify(nodes, queries, weights, same, label, threshold, block: int = 1024) -> Links:
+def _verify(nodes, queries, weights, query_weights, same, label, threshold, block: int = 1024) -> Links:
     m, n = len(queries), len(nodes)
-    near, a, b = np.zeros(m, np.int64), [], []
+    near, back, a, b = np.zeros(m, np.int64), np.zeros(n, np.int64), [], []
     order = np.argsort(label, kind="stable")
     edges = np.concatenate(([0], np.flatnonzero(np.diff(label[order])) + 1, [m + n]))
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -283,6 +312,7 @@ def _verify(nodes, queries, weights, same, label, threshold, block: int = 1024)
                 hit[at, mine[at]] = False
                 if first:
                     near[part] += hit @ weights[c]
+                    back[c] += query_weights[part] @ hit
                 some = np.flatnonzero(hit.any(1))
                 if first and len(some):
                     to = hit[some].argmax(1)
@@ -302,7 +332,105 @@ def _verify(nodes, queries, weights, same, label, threshold, block: int = 1024)
                                 class_of[class_of == x] = low[r]
             first = False
     none = np.zeros(0, np.int64)
-    return Links(near, np.concatenate(a) if a else none, np.concatenate(b) if b else none, 1.0)
+    return Links(near, back, np.concatenate(a) if a else none, np.concatenate(b) if b else none, 1.0)
+
+
+@lru_cache(maxsize=64)
+def _directions(size: int, cells: int, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random directions, one for each cell, and how much less than to its own cell's a vector may lean to another's and still be a step from that cell."""
+    d = np.random.default_rng((size, cells)).normal(size=(cells, size))
+    apart = np.sqrt(np.maximum(((d[:, None, :] - d[None, :, :]) ** 2).sum(2), 0)) if cells * cells * size < 1 << 22 else np.full((cells, cells), np.inf)
+    return d, step * np.minimum(SURE * 2**0.5, apart) + 1e-9
+
+
+def cells_of(unit: np.ndarray, middle: np.ndarray, cells: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors: the cell of each, and which other cells it is a query in (one row for each vector).
+
+    Of two cells, the nodes of one are queries in the other, and each cell is asked by half of the others.
+    """
+    d, reach = _directions(unit.shape[1], cells, float(np.sqrt(max(0.0, 2 - 2 * threshold))))
+    lean = (unit - middle) @ d.T
+    cell = lean.argmax(1)
+    other = np.arange(cells)
+    asks = lean[np.arange(len(unit)), cell][:, None] - lean <= reach[cell]
+    asks &= (cell[:, None] < other) ^ ((cell[:, None] + other) % 2 == 1)
+    asks[np.arange(len(unit)), cell] = False
+    return cell, asks
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _middle(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"_group": pdf["_group"].iloc[:1], "_middle": [_unit(np.array(pdf["_v"].tolist(), np.float64)).mean(0)]})
+
+
+def _route(facts, threshold: float):
+    """The columns with _cell and _asks (other cells); a label that facts lack is one cell. facts: how many cells a label has, and its middle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, asks = np.zeros(len(b), np.int32), [[] for _ in range(len(b))]
+            names = np.array(b.column("_group").to_pylist(), object)
+            for name in sorted(facts.value.keys() & set(names.tolist())):
+                at = np.flatnonzero(names == name)
+                cells, middle = facts.value[name]
+                cell[at], to = cells_of(_unit(_matrix(b.column("_v").take(pa.array(at)))), middle, cells, threshold)
+                for k in np.flatnonzero(to.any(1)).tolist():
+                    asks[at[k]] = np.flatnonzero(to[k]).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(asks, pa.list_(pa.int32()))], [*b.schema.names, "_cell", "_asks"])
+
+    return run
+
+
+def _ask(threshold: float, most: int):
+    """u, v, near: from rows in the order of _key, a shard's own nodes first; counts have no second end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard, names, rows, held = None, None, None, [], 0
+
+        def flush(own: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal shard, names, rows, held
+            if not rows:
+                return
+            x = np.concatenate([_matrix(r.column("_v")) for r in rows])
+            name, weight = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("_node", "_weight"))
+            rows, held = [], 0
+            if own:
+                shard, names = Shard(x, weight, threshold), name
+            elif shard is None:  # queries of a shard without nodes
+                return
+            got = shard.ask(x, weight, np.arange(len(x)) if own else np.full(len(x), -1))
+            some, of = np.flatnonzero(got.near), np.flatnonzero(got.back) if not own else np.zeros(0, np.int64)
+            u = np.concatenate((name[some], names[of], name[got.a]))
+            v = np.concatenate((name[some], names[of], names[got.b]))
+            near = np.concatenate((got.near[some], got.back[of], np.zeros(len(got.a), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, near)], ["u", "v", "near"])
+
+        was = True
+        for b in batches:
+            keys, own = np.array(b.column("_key").to_pylist(), object), np.asarray(b.column("_own"))
+            edges = np.flatnonzero((keys[1:] != keys[:-1]) | (own[1:] != own[:-1])) + 1 if len(b) else []
+            for lo, hi in zip([0, *edges], [*edges, len(b)], strict=True):
+                if hi == lo:
+                    continue
+                if keys[lo] != key or own[lo] != was:
+                    yield from flush(was)
+                    shard = shard if keys[lo] == key else None
+                    key, was = keys[lo], bool(own[lo])
+                rows.append(b.slice(lo, hi - lo))
+                held += hi - lo
+                if held >= most and not was:
+                    yield from flush(was)
+        yield from flush(was)
+
+    return run
 
 
 def deduplicate(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -312,35 +440,35 @@ def deduplicate(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int
     rows = vectors.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("string").alias("_label"), v.alias("_v"), F.coalesce(good, F.lit(False)).alias("_good"))
     # -0.0 and 0.0 are one value
     rows = rows.withColumn("_v", F.transform("_v", lambda x: x + F.lit(0.0))).withColumn("_node", F.xxhash64("_label", F.concat_ws(",", F.col("_v").cast("array<string>"))))
+    if dict(vectors.dtypes)[vector_col] == "array<float>":  # the same values in half the bytes
+        rows = rows.withColumn("_v", F.col("_v").cast("array<float>"))
     nodes = rows.where("_good").groupBy("_node").agg(F.min("_id").alias("_first"), F.count("*").alias("_weight"), F.any_value("_label").alias("_label"), F.any_value("_v").alias("_v"))
     scratch = Scratch(vectors.sparkSession)
-    nodes = scratch.save(nodes.withColumn("_group", F.concat_ws("/", "_label", F.size("_v").cast("string"))), "vector-nodes")
-    shards = nodes.groupBy("_group").agg(F.ceil(F.count("*") / shard).cast("int").alias("_shards"))
-    dealt = nodes.join(shards, "_group").withColumn("_at", F.pmod("_node", F.col("_shards")).cast("int"))
-    # each shard meets the queries of each shard, itself among them, in a group of its own: two shards' vectors at most
-    each = F.sequence(F.lit(0), F.col("_shards") - 1)
-    kept = ("_group", "_node", "_v", "_weight")
-    as_nodes = dealt.select(*kept, F.col("_at").alias("_shard"), F.explode(each).alias("_block"), F.lit(True).alias("_own"))
-    as_queries = dealt.select(*kept, F.explode(each).alias("_shard"), F.col("_at").alias("_block"), F.lit(False).alias("_own")).where("_shard != _block")
-    both = as_nodes.unionByName(as_queries)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_node")
-        x = np.array(pdf["_v"].tolist(), np.float64)
-        own = pdf["_own"].to_numpy()
-        name, weight = pdf["_node"].to_numpy(), pdf["_weight"].to_numpy()
-        asks = ~own if len(own) > own.sum() else own  # a shard without another one's queries meets its own
-        if not own.any() or pdf["_shard"].iloc[0] != pdf["_block"].iloc[0] and own.all():
-            return pd.DataFrame({"u": [], "v": [], "near": []})
-        same = np.arange(own.sum()) if asks is own else np.full(asks.sum(), -1)
-        got = find_links(x[own], x[asks], weight[own], same, threshold)
-        some = np.flatnonzero(got.near)
-        names = name[asks]
-        u, w = names[got.a], name[own][got.b]
-        # counts have no second end
-        return pd.DataFrame({"u": np.concatenate((names[some], u)), "v": np.concatenate((names[some], w)), "near": np.concatenate((got.near[some], np.zeros(len(u), np.int64)))})
-
-    found = scratch.save(both.groupBy("_group", "_shard", "_block").applyInPandas(run, "u long, v long, near long"), "vector-links")
+    nodes = scratch.save(nodes.withColumn("_group", F.concat_ws("/", "_label", F.size("_v").cast("string"))).drop("_label"), "vector-nodes")
+    total = nodes.count()
+    # a label's cells are about half a shard, since they differ in size; few labels have any
+    many = nodes.groupBy("_group").agg(F.count("*").alias("_n")).where(F.col("_n") > shard).select("_group", "_n", F.ceil(2 * F.col("_n") / shard).cast("int").alias("_cells"))
+    drawn = nodes.join(F.broadcast(many), "_group").where(F.pmod("_node", F.greatest(F.lit(1), F.col("_n").cast("long") / MIDDLE).cast("long")) == 0)
+    middle = drawn.select("_group", "_v").groupBy("_group").applyInPandas(_middle, "_group string, _middle array<double>")
+    facts = {r["_group"]: (r["_cells"], np.array(r["_middle"])) for r in many.join(middle, "_group").select("_group", "_cells", "_middle").toLocalIterator()}
+    kind = dict(nodes.dtypes)["_v"]
+    routed = nodes.select("_group", "_node", "_v", "_weight").mapInArrow(_route(vectors.sparkSession.sparkContext.broadcast(facts), threshold), f"_group string, _node long, _v {kind}, _weight long, _cell int, _asks array<int>")
+    routed = scratch.save(routed, "vector-routed")
+    # cells that are too large for one shard
+    large = routed.groupBy("_group", "_cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("_shards")).where("_shards > 1")
+    large = scratch.save(large, "vector-shards")
+    shards = F.coalesce(F.col("_shards"), F.lit(1))
+    placed = routed.join(F.broadcast(large), ["_group", "_cell"], "left").withColumn("_shards", shards).withColumn("_at", F.pmod("_node", F.col("_shards")).cast("int"))
+    key = F.concat_ws("/", "_group", F.col("_cell").cast("string"), F.col("_at").cast("string")).alias("_key")
+    sent = ("_node", "_v", "_weight")
+    as_nodes = placed.select(key, F.lit(True).alias("_own"), *sent)
+    later = placed.where("_shards > _at + 1").withColumn("_at", F.explode(F.sequence(F.col("_at") + 1, F.col("_shards") - 1)))
+    beyond = routed.select("_group", F.explode("_asks").alias("_cell"), *sent).join(F.broadcast(large), ["_group", "_cell"], "left").withColumn("_at", F.explode(F.sequence(F.lit(0), shards - 1)))
+    asked = as_nodes.unionByName(later.select(key, F.lit(False).alias("_own"), *sent)).unionByName(beyond.select(key, F.lit(False).alias("_own"), *sent))
+    # several parts a shard, so that few parts have two
+    parts = min(4096, 8 * (total // shard) + 24)
+    asked = asked.repartition(parts, "_key").sortWithinPartitions("_key", F.desc("_own"), "_node")
+    found = scratch.save(asked.mapInArrow(_ask(threshold, shard), "u long, v long, near long"), "vector-links")
     direct = found.where("near > 0").groupBy("u").agg(F.sum("near").alias("_near"))
     classes = connected_components(found.where("near = 0").select("u", "v"), scratch)
     placed = nodes.select("_node", "_first", "_weight").join(classes.select(F.col("id").alias("_node"), "component"), "_node", "left").join(direct.select(F.col("u").alias("_node"), "_near"), "_node", "left")
