@@ -755,6 +755,64 @@ def test_lm_parts_take_little_memory():
     assert (states == mixing.state_of(tree.zeros, tree.ones)).all()
 
 
+def test_lm_looks_up_and_sorts_little(monkeypatch):
+    """op8's CPU: runs of bytes are looked up once, and bits are sorted only where a context goes on in several ways; by the same results."""
+    rng = random.Random(12)
+    texts = [prose(rng, n) for n in (400, 0, 1, 900, 300)] + ["x", "a\0b a\0b \0"]
+    code, t = code_of(texts)
+    byte, node, bit = code.bits_of(t)
+    salt, table = code.salt.take(node), np.zeros(2 << 16, np.uint32)
+    np.add.at(table, mixing.slots(mixing.byte_hashes(t).take(byte) + salt, 1 << 16) * 2 + bit, 1)
+    asked, sorted_bits, paths_of, own_states = [], [], mixing.Code.paths_of, mixing.own_states
+    monkeypatch.setattr(mixing.Code, "paths_of", lambda self, key: (asked.append(len(key)), paths_of(self, key))[1])
+    monkeypatch.setattr(mixing, "own_states", lambda key, bit: (sorted_bits.append(len(key)), own_states(key, bit))[1])
+    counted = np.zeros_like(table)
+    mixing.count_bits(code, t, counted)
+    assert (counted == table).all() and asked[0] < len(t.code) / 2
+    context = kernels.mix64(mixing.word_hashes(t) + np.repeat(np.repeat(np.arange(len(texts)), np.diff(t.texts)), t.width).astype(np.uint64))
+    assert (mixing.context_states(context, t.code, byte, salt, bit) == own_states(context.take(byte) + salt, bit)).all()
+    follow = collections.defaultdict(set)
+    for h, b in zip(context.tolist(), t.code.tolist()):
+        follow[h].add(b)
+    assert sorted_bits[0] == sum(len(follow[h]) > 1 for h in context.take(byte).tolist()) < len(bit)
+
+
+def test_lm_slabs_and_rounds_change_nothing(monkeypatch):
+    rng = random.Random(13)
+    model, t = small_model([prose(rng, n) for n in (300, 0, 700, 1, 40)])
+    known = np.array([rng.randrange(256) for _ in model.code.bits_of(t)[0]], np.uint8)
+
+    def run():
+        bits, mixer = model.states(t, known), mixing.Mixer()
+        return bits, [mixer.run(model, bits, learn=learn) for learn in (True, False)], mixer
+
+    bits, cost, mixer = run()
+    for name, value in (("SLAB", 10), ("_INPUT_BITS", 1), ("_BLOCKS", 0)):
+        monkeypatch.setattr(mixing, name, value)
+        other, again, moved = run()
+        assert all((getattr(bits, k) == getattr(other, k)).all() for k in ("text", "bit", "states"))
+        assert np.allclose(cost, again, rtol=1e-5) and np.allclose(mixer.weights, moved.weights, atol=1e-5) and (mixer.seen == moved.seen).all()
+
+
+def test_lm_borders_and_places_by_brute_force():
+    rng = random.Random(14)
+    names = sorted({*prose(rng, 400).split(), "zz", chr(mixing.END)})
+    code, _ = code_of(names)
+    count = np.array([rng.randrange(1, 9) for _ in names])
+    share = collections.namedtuple("Shared", "value")
+    got = lm_scoring._border(share(code))(pa.table({"word": names, "c": count})).to_pydict()
+    tree = mixing.word_tree(code, mixing.coded_words(chunk_of(names)), count)
+    beside = set(tree.begin[(tree.word == 0) | (tree.word == len(names) - 1)].tolist())
+    want = {int(kernels.signed(tree.key)[k]): (tree.zeros[k], tree.ones[k]) for k in range(len(tree.key)) if int(tree.begin[k]) in beside}
+    assert dict(zip(got["key"], zip(got["zeros"], got["ones"]))) == want
+    # hashes that differ in their first or their last bits only
+    keys = np.array([5, 6, 1 << 63, 5 + (1 << 62), 7, (1 << 64) - 1], np.uint64)
+    assert lm_scoring._Places(keys).of(keys[[3, 0, 5, 1, 1, 2, 4]]).tolist() == [3, 0, 5, 1, 1, 2, 4]
+    for some in (keys[[0, 1, 0, 4, 1]], keys[[2, 2, 3]]):
+        at, start, size = lm_scoring._distinct(some)
+        assert sorted((int(some[at[k]]), int(n)) for k, n in zip(start, size)) == sorted(collections.Counter(some.tolist()).items())
+
+
 def test_lm_scores_very_long_words(spark):
     rng = random.Random(5)
     blob = "".join(rng.choice("0123456789abcdef") for _ in range(100_000))
