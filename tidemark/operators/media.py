@@ -10,10 +10,11 @@ which are as large as that sample.  A null or empty medium has no blobs.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from tidemark.functions.coder import wav
 BMP_HEADER, WAV_HEADER = 54, 44
 RATE = 8_000
 
+Cut = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
 
 def decode_payload(spec: Column) -> Column:
     """Bytes of a payload given as a struct of (bytes, hex, values): the first that is not null; numbers are bytes by value modulo 256."""
@@ -61,8 +64,8 @@ def bmp_pixels(blob: bytes) -> np.ndarray:
     return rows[::-1, : 3 * width].reshape(height, width, 3)[:, :, ::-1]
 
 
-def patches(images: DataFrame, size: int) -> DataFrame:
-    """sample, index, x, y, blob: row-major patches of size by size, padded with zeros at the right and below."""
+def cut_patches(size: int) -> Cut:
+    """Batches of (sample, width, height, pixels) to batches of sample, index, x, y, blob."""
     if size < 1:
         raise ValueError("a patch holds a pixel at least")
 
@@ -81,22 +84,37 @@ def patches(images: DataFrame, size: int) -> DataFrame:
                     out.append((sample, i, x, y, bmp(whole[y : y + size, x : x + size])))
             yield pd.DataFrame(out, columns=["sample", "index", "x", "y", "blob"])
 
-    return images.select("sample", "width", "height", "pixels").mapInPandas(run, f"sample {dict(images.dtypes)['sample']}, index int, x int, y int, blob binary")
+    return run
+
+
+def patches(images: DataFrame, size: int) -> DataFrame:
+    """sample, index, x, y, blob: row-major patches of size by size, padded with zeros at the right and below."""
+    return images.select("sample", "width", "height", "pixels").mapInPandas(cut_patches(size), f"sample {dict(images.dtypes)['sample']}, index int, x int, y int, blob binary")
 
 
 def retiled(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """sample, width, height, pixels of patches put at their places and cropped; sizes: sample, width, height."""
     kind = dict(cells.dtypes)["sample"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
-        parts = [(x, y, bmp_pixels(b)) for x, y, b in zip(pdf["x"], pdf["y"], pdf["blob"], strict=True)]
-        whole = np.zeros((max(y + p.shape[0] for _, y, p in parts), max(x + p.shape[1] for x, _, p in parts), 3), np.uint8)
-        for x, y, p in parts:
-            whole[y : y + p.shape[0], x : x + p.shape[1]] = p
-        return pd.DataFrame({"sample": pdf["sample"].iloc[:1], "width": [width], "height": [height], "pixels": [whole[:height, :width].tobytes()]})
-
-    return cells.join(sizes, "sample").groupBy("sample").applyInPandas(run, f"sample {kind}, width int, height int, pixels binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sample, widths, heights, lists = b.columns
+            at, cells = lists.offsets.to_numpy(), lists.values
+            xs, ys, blobs = cells.field("x").to_numpy(), cells.field("y").to_numpy(), cells.field("blob")
+            pixels = []
+            for width, height, lo, hi in zip(widths.to_numpy(), heights.to_numpy(), at[:-1], at[1:], strict=True):
+                parts = [(xs[i], ys[i], bmp_pixels(blobs[i].as_buffer())) for i in range(lo, hi)]
+                whole = np.zeros((max(y + p.shape[0] for _, y, p in parts), max(x + p.shape[1] for x, _, p in parts), 3), np.uint8)
+                for x, y, p in parts:
+                    whole[y : y + p.shape[0], x : x + p.shape[1]] = p
+                pixels.append(whole[:height, :width].tobytes())
+            yield pa.RecordBatch.from_arrays([sample, widths, heights, pa.array(pixels, pa.binary())], ["sample", "width", "height", "pixels"])
+
+    # lists of a sample's patches, and a worker takes many of them at once: a group of Python's own costs more than its patches
+    whole = cells.where("sample is not null and blob is not null").groupBy("sample").agg(F.collect_list(F.struct("x", "y", "blob")).alias("cells"))
+    one = sizes.dropDuplicates(["sample"])
+    rows = whole.join(one, "sample").select("sample", F.col("width").cast("int"), F.col("height").cast("int"), "cells")
+    return rows.mapInArrow(run, f"sample {kind}, width int, height int, pixels binary")
 
 
 def shard_patches(images: DataFrame, size: int, order: str) -> DataFrame:
@@ -107,11 +125,8 @@ def shard_patches(images: DataFrame, size: int, order: str) -> DataFrame:
     return patches(images, size).join(placed.select("sample", "shard", "sample_idx"), "sample")
 
 
-def clips(sounds: DataFrame, chunk_ms: int) -> DataFrame:
-    """sample, index, blob: stretches of chunk_ms at 8 kHz and 8 bits, each with a WAV header; the last may be shorter.
-
-    Of a higher rate, which must be a multiple of 8 kHz, every rate / 8000-th value is kept.
-    """
+def cut_clips(chunk_ms: int) -> Cut:
+    """Batches of (sample, rate, pcm) to batches of sample, index, blob."""
     step = RATE * chunk_ms // 1000
     if step < 1:
         raise ValueError("a stretch holds a sample at least")
@@ -129,13 +144,45 @@ def clips(sounds: DataFrame, chunk_ms: int) -> DataFrame:
                 out += [(sample, k, wav(raw[at : at + step].tobytes())) for k, at in enumerate(range(0, len(raw), step))]
             yield pd.DataFrame(out, columns=["sample", "index", "blob"])
 
-    return sounds.select("sample", "rate", "pcm").mapInPandas(run, f"sample {dict(sounds.dtypes)['sample']}, index int, blob binary")
+    return run
+
+
+def clips(sounds: DataFrame, chunk_ms: int) -> DataFrame:
+    """sample, index, blob: stretches of chunk_ms at 8 kHz and 8 bits, each with a WAV header; the last may be shorter.
+
+    Of a higher rate, which must be a multiple of 8 kHz, every rate / 8000-th value is kept.
+    """
+    return sounds.select("sample", "rate", "pcm").mapInPandas(cut_clips(chunk_ms), f"sample {dict(sounds.dtypes)['sample']}, index int, blob binary")
+
+
+def measured(header: int, out: str) -> Cut:
+    """Batches with a blob to batches with blob_bytes and, as `out`, the sum of the bytes after its header."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            size = np.array([len(b) for b in pdf["blob"]], np.int64)
+            ends = np.cumsum(size)
+            before = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(pdf["blob"]), np.uint8), dtype=np.int64)])
+            yield pdf.drop(columns="blob").assign(**{"blob_bytes": size, out: before[ends] - before[np.minimum(ends - size + header, ends)]})
+
+    return run
+
+
+def in_turn(*steps: Cut) -> Cut:
+    """Steps over batches as one: what they hand on stays in one worker."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
 
 
 def joined(blobs: DataFrame) -> DataFrame:
     """sample, pcm: the values of a sample's stretches without their headers, end to end."""
     parts = blobs.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("index", F.expr(f"substring(blob, {WAV_HEADER + 1})").alias("b")))).alias("_p"))
-    return parts.select("sample", F.aggregate("_p", F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("pcm"))
+    return parts.select("sample", F.unhex(F.array_join(F.transform("_p", lambda x: F.hex(x["b"])), "")).alias("pcm"))
 
 
 def reconstructed(blobs: DataFrame, framing: str) -> DataFrame:

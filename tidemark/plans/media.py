@@ -12,52 +12,66 @@ from pyspark.sql import functions as F
 from tidemark.operators import media as M
 
 PATCH, CHUNK_MS, SOUND_RATE = 16, 100, 16_000
+#: Images or sounds that a worker makes at once.
+AT_ONCE = 500
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Parts dealt to as many tasks as a shuffle has: their media are a thousand times larger than the file, which may be one task's."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As wide and high as a part's size and key say; a pixel's colours follow from its place."""
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images are as wide and high as a part's size and key say."""
+    return _parts(spark, sf_dir).select(F.col("p_partkey").cast("bigint").alias("sample"), (F.col("p_size") + 8).cast("int").alias("width"), (F.col("p_partkey") % 40 + 5).cast("int").alias("height"))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pixels = []
-            for k, w, h in zip(pdf["sample"], pdf["width"], pdf["height"], strict=True):
-                y, x, c = np.meshgrid(np.arange(h), np.arange(w), np.arange(3), indexing="ij")
+def _draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds pixels: their colours follow from their places."""
+    for pdf in batches:
+        for at in range(0, len(pdf), AT_ONCE):
+            part, pixels = pdf.iloc[at : at + AT_ONCE], []
+            for k, w, h in zip(part["sample"], part["width"], part["height"], strict=True):
+                y, x, c = np.ogrid[:h, :w, :3]
                 pixels.append(((k * 31 + x * 7 + y * 13 + c * 29) % 256).astype(np.uint8).tobytes())
-            yield pdf.assign(pixels=pixels)
+            yield part.assign(pixels=pixels)
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir).mapInPandas(_draw, "sample long, width int, height int, pixels binary")
+
 
-    sizes = _parts(spark, sf_dir).select(F.col("p_partkey").cast("bigint").alias("sample"), (F.col("p_size") + 8).cast("int").alias("width"), (F.col("p_partkey") % 40 + 5).cast("int").alias("height"))
-    return sizes.mapInPandas(run, "sample long, width int, height int, pixels binary")
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).select(F.col("p_partkey").cast("bigint").alias("sample"))
 
 
-def _sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A thousand values and more at 16 kHz, each a function of the part's key and the place."""
-    k = F.col("p_partkey").cast("bigint")
-    value = lambda t: F.pmod(t * t * 3 + t * 11 + k * 37, F.lit(65536)) / 32768.0 - 1
-    n = F.pmod(k * 37, F.lit(3000)) + 1000
-    return _parts(spark, sf_dir).select(k.alias("sample"), F.lit(SOUND_RATE).alias("rate"), F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), value).alias("pcm"))
+    for pdf in batches:
+        for at in range(0, len(pdf), AT_ONCE):
+            part, pcm = pdf.iloc[at : at + AT_ONCE], []
+            for k in part["sample"].tolist():
+                t = np.arange(k * 37 % 3000 + 1000)
+                pcm.append((t * t * 3 + t * 11 + k * 37) % 65536 / 32768.0 - 1)
+            yield part.assign(rate=SOUND_RATE, pcm=pcm)
 
 
-def _bytes_sum(data) -> F.Column:
-    """Sum of a binary value's bytes."""
-    digits = F.filter(F.split(F.hex(data), "(?<=\\G..)"), lambda x: x != "")
-    return F.aggregate(F.transform(digits, lambda x: F.conv(x, 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sounds are made and cut in one worker: no value of theirs passes through the JVM."""
+    return _keys(spark, sf_dir).mapInPandas(M.in_turn(_play, M.cut_clips(CHUNK_MS)), "sample long, index int, blob binary")
 
 
 def image_patches(spark, sf_dir):
     """Patches as bitmaps: their places, sizes and the sum of their pixels."""
-    p = M.patches(_images(spark, sf_dir), PATCH)
-    return p.select("sample", "index", "x", "y", F.octet_length("blob").cast("bigint").alias("blob_bytes"), _bytes_sum(F.expr(f"substring(blob, {M.BMP_HEADER + 1})")).alias("pixel_sum"))
+    steps = M.in_turn(_draw, M.cut_patches(PATCH), M.measured(M.BMP_HEADER, "pixel_sum"))
+    return _sizes(spark, sf_dir).mapInPandas(steps, "sample long, index int, x int, y int, blob_bytes long, pixel_sum long")
 
 
 def image_retiled(spark, sf_dir):
     """Images put together from their patches and cropped."""
-    images = _images(spark, sf_dir)
-    back = M.retiled(M.patches(images, PATCH), images.select("sample", "width", "height"))
-    return back.select("sample", "width", "height", F.md5(F.hex("pixels")).alias("md5"))
+    sizes = _sizes(spark, sf_dir)
+    cells = sizes.mapInPandas(M.in_turn(_draw, M.cut_patches(PATCH)), "sample long, index int, x int, y int, blob binary")
+    return M.retiled(cells, sizes).select("sample", "width", "height", F.md5(F.hex("pixels")).alias("md5"))
 
 
 def image_shards(spark, sf_dir):
@@ -68,18 +82,18 @@ def image_shards(spark, sf_dir):
 
 def audio_clips(spark, sf_dir):
     """Stretches of 100 ms as WAV files: sizes and the sum of their values."""
-    c = M.clips(_sounds(spark, sf_dir), CHUNK_MS)
-    return c.select("sample", "index", F.octet_length("blob").cast("bigint").alias("blob_bytes"), _bytes_sum(F.expr(f"substring(blob, {M.WAV_HEADER + 1})")).alias("value_sum"))
+    steps = M.in_turn(_play, M.cut_clips(CHUNK_MS), M.measured(M.WAV_HEADER, "value_sum"))
+    return _keys(spark, sf_dir).mapInPandas(steps, "sample long, index int, blob_bytes long, value_sum long")
 
 
 def audio_joined(spark, sf_dir):
-    back = M.joined(M.clips(_sounds(spark, sf_dir), CHUNK_MS))
+    back = M.joined(_clips(spark, sf_dir))
     return back.select("sample", F.octet_length("pcm").cast("bigint").alias("bytes"), F.md5(F.hex("pcm")).alias("md5"))
 
 
 def media_reconstructed(spark, sf_dir):
     """Sounds of even keys have a framing and become one value; the blobs of odd ones stay as they are."""
-    blobs = M.clips(_sounds(spark, sf_dir), CHUNK_MS).withColumn("framing", F.when(F.col("sample") % 2 == 0, F.lit("wav")))
+    blobs = _clips(spark, sf_dir).withColumn("framing", F.when(F.col("sample") % 2 == 0, F.lit("wav")))
     return M.reconstructed(blobs, "framing").select("sample", "index", F.octet_length("data").cast("bigint").alias("bytes"))
 
 
