@@ -1,10 +1,13 @@
 """What keeps queries in proportion to their input: how they are planned, and that other cuts give the same rows."""
 
+import lzma
+import time
+
 import numpy as np
 import pandas as pd
 
 from tidemark import registry
-from tidemark.operators import media
+from tidemark.operators import codecs, media
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +39,17 @@ def test_many_images_are_put_together_at_once(spark):
     sounds = spark.createDataFrame([(k, 8000, rng.uniform(-1, 1, 70 + k).tolist()) for k in range(20)], "sample long, rate int, pcm array<double>")
     whole = {r["sample"]: bytes(r.pcm) for r in media.joined(media.clips(sounds, 1)).collect()}  # nine stretches and more
     assert whole == {r["sample"]: bytes(((np.clip(np.array(r.pcm) * 32768, -32768, 32767).astype(int) >> 8) + 128).tolist()) for r in sounds.collect()}
+
+
+def test_lzma_clears_no_more_than_a_value_needs():
+    rng = np.random.default_rng(2)
+    values = [b"", b"a", b"to be or not " * 150, bytes(2048), rng.integers(0, 256, 2048, dtype=np.uint8).tobytes(), rng.integers(0, 3, 30_000, dtype=np.uint8).tobytes(), b"abcd" * 20_000 + b"x"]
+    start = time.process_time()
+    want = [len(lzma.compress(v, format=lzma.FORMAT_ALONE, preset=9 | lzma.PRESET_EXTREME)) for v in values]
+    whole, start = time.process_time() - start, time.process_time()
+    assert [codecs.size("lzma", v) for v in values] == want
+    assert time.process_time() - start < whole / 2
+
+
+def test_codecs_are_dealt_to_more_tasks_than_files(spark):
+    assert "REPARTITION_BY_NUM" in plan(spark, "codec_baselines") and "REPARTITION_BY_NUM" in plan(spark, "codec_baselines_whole")
