@@ -5,9 +5,10 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from tidemark import registry
-from tidemark.operators import codecs, media
+from tidemark.operators import codecs, context, media, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +54,34 @@ def test_lzma_clears_no_more_than_a_value_needs():
 
 def test_codecs_are_dealt_to_more_tasks_than_files(spark):
     assert "REPARTITION_BY_NUM" in plan(spark, "codec_baselines") and "REPARTITION_BY_NUM" in plan(spark, "codec_baselines_whole")
+
+
+def test_context_cells_over_streams_of_any_length(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("abcd é"), n))
+    rows = [(f"s{s}", t, text(int(n))) for s in range(6) for t, n in enumerate(rng.integers(0, 90, 5))] + [("long", t, text(700)) for t in range(3)] + [(None, 0, "left out"), ("z", 0, None), ("one", 2, "x")]
+    docs = spark.createDataFrame(rows, "stream string, seq long, text string").repartition(3)
+    for chunk, interval in ((8, 1), (8, 3)):
+        want = set()
+        for ctx in (0, 1):
+            pairs = context.pair_counts(streams.as_stream(docs.where("stream is not null"), stream="stream", order="seq"), chunk, interval, ctx)
+            for mode in ("static", "online"):
+                want |= {(r.stream, ctx, mode, r.bits) for r in context.cell(pairs, mode == "online").collect()}
+        for at_once in (1, 24, 50, 1 << 18):  # streams end and go on within and between what is taken at once
+            run = context._walk(chunk, interval, (0, 1))
+            monkeypatch.setattr(context, "AT_ONCE", at_once)
+            seen: dict = {}
+            ordered = sorted(((s, t, (x or "").encode()) for s, t, x in rows if s is not None), key=lambda r: r[:2])
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[2] for r in part], pa.binary())], ["stream", "data"]) for part in (ordered[:4], ordered[4:30], ordered[30:])]
+            for b in run(iter(batches)):
+                for r in b.to_pylist():
+                    key = r["stream"], r["ctx"], r["mode"]
+                    seen[key] = seen.get(key, 0) + r["bits"]
+            assert {(*k, v) for k, v in seen.items()} == want
+        assert {tuple(r) for r in context.cells(streams.rows_of(docs, stream="stream", order="seq"), chunk, interval, (0, 1)).collect()} == want
+
+
+def test_context_cells_shuffle_texts_once(spark):
+    for name in ("context_cells", "context_square", "context_table"):
+        text = plan(spark, name)
+        assert text.count("MapInArrow") == 1 and text.count("Scan parquet") == 1 and "Generate" not in text and "Join" not in text

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.costs import micro_bits
+from tidemark.operators.costs import ALPHA, UNIT, micro_bits
 from tidemark.operators.streams import segments
 
 #: The context symbol where there is no byte before.
 START = 256
 
+#: Bytes of streams that are measured at once.
+AT_ONCE = 1 << 18
+
 
 def pair_counts(stream: DataFrame, chunk: int, interval: int, ctx: int) -> DataFrame:
     """stream, k, ctx, sym, c: bytes by the byte before in their chunk.
@@ -40,6 +47,124 @@ def cell(pairs: DataFrame, online: bool) -> DataFrame:
     return rows.groupBy("stream").agg(F.sum(F.col("c") * micro_bits(F.col("n"), F.col("tot"))).alias("bits"))
 
 
+def _rank(key: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Of each place how many earlier places have its key, those of its own unit left out; units ascend by place."""
+    bits = int(len(key)).bit_length()
+    packed = np.sort(key << bits | np.arange(len(key)))
+    by, k = packed & (1 << bits) - 1, packed >> bits
+    at, u = np.arange(len(k)), unit[by]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    fresh = new | np.concatenate([[True], u[1:] != u[:-1]])
+    out = np.empty(len(k), np.int64)
+    out[by] = np.maximum.accumulate(np.where(fresh, at, 0)) - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
+def _lengths(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """micro_bits in numpy."""
+    return np.floor(-np.log2((n + ALPHA) / (total + 256 * ALPHA)) * UNIT + 0.5)
+
+
+def _walk(chunk: int, interval: int, ctxs: tuple[int, ...]):
+    """Batches of (stream, data), a stream's rows one after another and in order, to stream, ctx, mode, bits: parts to be summed.
+
+    Streams are taken many at once. One that is not at its end goes on with the counts of its full intervals.
+    """
+    width = chunk * interval
+
+    def measure(runs: list[tuple[str, bytes]], state: dict | None, at: int, last: int, goes_on: bool):
+        """Sums of runs, of which the first is at byte `at` of its stream, after the byte `last`, in a state; and the last one's state."""
+        size = np.array([len(d) for _, d in runs])
+        sym = np.frombuffer(b"".join(d for _, d in runs), np.uint8).astype(np.int64)
+        row, first = np.repeat(np.arange(len(runs)), size), np.cumsum(size) - size
+        pos = np.arange(len(sym)) - first[row]
+        prev = np.concatenate([[START], sym[:-1]])
+        prev[first] = START
+        prev[0] = last
+        unit, whole = pos // width, int(size[0])
+        static = (size * _lengths(np.zeros(1), np.zeros(1))[0]).astype(np.int64)
+        bits, after = [], {}
+        for ctx in ctxs:
+            tail = prev[np.arange(len(sym)) - pos % width] if ctx else START
+            c = np.where(pos % chunk == 0, tail, prev)
+            two = c * 256 + sym
+            n, total = _rank(row * (257 * 256) + two, unit), _rank(row * 257 + c, unit)
+            if state is not None:
+                n[:whole] += state[ctx][two[:whole]]
+                total[:whole] += state[ctx].reshape(257, 256).sum(1)[c[:whole]]
+            bits.append(np.bincount(row, weights=_lengths(n, total), minlength=len(runs)).astype(np.int64))
+            if goes_on:
+                after[ctx] = np.bincount(two[first[-1] :], minlength=257 * 256) + (state[ctx] if state is not None and len(runs) == 1 else 0)
+        names = [s for s, _ in runs]
+        cols = [(ctx, mode, v) for ctx, online in zip(ctxs, bits, strict=True) for mode, v in (("static", static), ("online", online))]
+        k = len(cols)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names * k, pa.string()), pa.array(np.repeat([c[0] for c in cols], len(runs)), pa.int32()), pa.array([c[1] for c in cols for _ in runs], pa.string()), pa.array(np.concatenate([c[2] for c in cols]))],
+            ["stream", "ctx", "mode", "bits"],
+        ), after, at + whole if len(runs) == 1 else int(size[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[tuple[str, bytearray]] = []
+        held, state, at, last = 0, None, 0, START
+
+        def flush(goes_on: bool):
+            nonlocal runs, held, state, at, last
+            rest = b""
+            name = runs[-1][0]
+            if goes_on:
+                # of the last stream only full intervals, so that what is kept is a state between two of them
+                full = len(runs[-1][1]) // width * width
+                rest = bytes(runs[-1][1][full:])
+                runs[-1] = (name, runs[-1][1][:full])
+            alone = len(runs) == 1
+            todo = [(s, bytes(d)) for s, d in runs]
+            ends = todo[-1][1][-1:] or (bytes([last]) if alone and last < START else b"")
+            kept = [x for x in todo if x[1]]
+            starts = bool(todo[0][1])  # whether the first of what is measured is the stream that the state is of
+            out = None
+            if kept:
+                out, after, now = measure(kept, state if starts else None, at if starts else 0, last if starts else START, goes_on)
+                if goes_on and todo[-1][1]:
+                    state, at = after, now
+            if goes_on and not todo[-1][1] and not alone:
+                state, at = None, 0
+            if goes_on:
+                last = ends[0] if ends else START
+                runs, held = [(name, bytearray(rest))], len(rest)
+            else:
+                runs, held, state, at, last = [], 0, None, 0, START
+            return out
+
+        for b in batches:
+            for name, data in zip(b.column(0), b.column(1), strict=True):
+                name, data = name.as_py(), memoryview(data.as_buffer())
+                for lo in range(0, len(data), AT_ONCE):
+                    part = data[lo : lo + AT_ONCE]
+                    if runs and runs[-1][0] == name:
+                        runs[-1][1].extend(part)
+                    else:
+                        runs.append((name, bytearray(part)))
+                    held += len(part)
+                    if held >= AT_ONCE and (out := flush(True)) is not None:
+                        yield out
+        if runs and (out := flush(False)) is not None:
+            yield out
+
+    return run
+
+
+def cells(rows: DataFrame, chunk: int, interval: int, ctxs: tuple[int, ...]) -> DataFrame:
+    """stream, ctx, mode, bits (micro-bits) of (stream, seq, data): what cell() says of pair_counts(), in one pass.
+
+    A stream goes through one task, which holds a part of it and counts of pairs; bytes are shuffled once, as texts.
+    Rows without a stream are left out, as the joins of cell() leave them out.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.where("stream is not null and octet_length(data) > 0").select("stream", "seq", "data").repartition(tasks, "stream").sortWithinPartitions("stream", "seq", "data")
+    parts = placed.select("stream", "data").mapInArrow(_walk(chunk, interval, ctxs), "stream string, ctx int, mode string, bits long")
+    return parts.groupBy("stream", "ctx", "mode").agg(F.sum("bits").alias("bits"))
+
+
 def gain_pct(a: Column, x: Column) -> Column:
     """100 (a - x) / a, 0 where a is 0."""
     return F.when(a == 0, 0.0).otherwise(100 * (a - x) / a)
@@ -53,8 +178,9 @@ def latest(cells: DataFrame, order: str) -> DataFrame:
 
 def squares(cells: DataFrame) -> DataFrame:
     """dataset, ctx, gains of B (adaptation), C (context), D (both) over A, and how they add up; incomplete cells give no row."""
-    wide = cells.groupBy("dataset", "ctx").pivot("mode", ["static", "online"]).agg(F.max("bits"))
-    zero = wide.where("ctx = 0").select("dataset", F.col("static").alias("a"), F.col("online").alias("b"))
-    sq = wide.where("ctx > 0").join(zero, "dataset").dropna(subset=["static", "online", "a", "b"])
+    is_ = lambda mode: F.max(F.when(F.col("mode") == mode, F.col("bits")))
+    wide = cells.where("dataset is not null").groupBy("dataset", "ctx").agg(is_("static").alias("static"), is_("online").alias("online"))
+    zero = lambda c: F.max(F.when(F.col("ctx") == 0, F.col(c))).over(Window.partitionBy("dataset"))
+    sq = wide.withColumns({"a": zero("static"), "b": zero("online")}).where("ctx > 0").dropna(subset=["static", "online", "a", "b"])
     g = sq.select("dataset", "ctx", gain_pct(F.col("a"), F.col("b")).alias("gain_b"), gain_pct(F.col("a"), F.col("static")).alias("gain_c"), gain_pct(F.col("a"), F.col("online")).alias("gain_d"))
     return g.withColumns({"d_vs_c": F.col("gain_d") - F.col("gain_c"), "d_vs_b": F.col("gain_d") - F.col("gain_b"), "additive": F.col("gain_b") + F.col("gain_c"), "overlap": F.col("gain_b") + F.col("gain_c") - F.col("gain_d")})
