@@ -6,9 +6,10 @@ import time
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from tidemark import registry
-from tidemark.operators import codecs, context, media, streams
+from tidemark.operators import codecs, context, costs, media, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,18 @@ def test_context_cells_shuffle_texts_once(spark):
     for name in ("context_cells", "context_square", "context_table"):
         text = plan(spark, name)
         assert text.count("MapInArrow") == 1 and text.count("Scan parquet") == 1 and "Generate" not in text and "Join" not in text
+
+
+@pytest.mark.parametrize("name", ["online_cost_all_seen", "online_cost_pretrained", "interval_measures", "branch_records"])
+def test_spans_of_any_width_give_the_same_costs(spark, monkeypatch, name):
+    rows = lambda: sorted(map(str, registry.queries()[name](spark, SF).collect()))
+    want = rows()
+    for chunks in (4, 12):
+        monkeypatch.setattr(costs, "SPAN_CHUNKS", chunks)
+        assert rows() == want
+
+
+def test_costs_are_worked_out_without_joins(spark):
+    text = plan(spark, "interval_measures")
+    assert text.count("MapInArrow") == 2 and "Join" not in text  # counts of spans, and the costs
+    assert "MapInArrow" not in plan(spark, "branch_percent") + plan(spark, "gk_cumulative_regret") + plan(spark, "rate_cumulative")  # made once, then read

@@ -6,31 +6,32 @@ candidates, by which ties are broken; lr 0 skips the update.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.costs import Schedule, interval_counts, interval_sizes, micro_bits, states
+from tidemark.operators.costs import Schedule, Span, by_span, lengths, sums
 
 NEAR_TIE = 0.001
 
 
-def records(counts: DataFrame, rates: tuple[float, ...], s: Schedule) -> DataFrame:
-    """Candidates at every boundary of chunk counts; the main trajectory advances by s.strength."""
-    st = states(counts, s)
-    before = interval_counts(counts, s).select("stream", (F.col("k") + 1).alias("k"), "sym", F.col("c").alias("c_prev"))
-    sizes = interval_sizes(counts, s).select("stream", (F.col("k") + 1).alias("k"), F.col("bytes").alias("bytes_prev"))
-    both = st.join(before, ["stream", "k", "sym"], "left").join(sizes, ["stream", "k"], "left")
-    c, prev = F.col("c"), F.coalesce("c_prev", F.lit(0))
+def records(stream: DataFrame, rates: tuple[float, ...], s: Schedule) -> DataFrame:
+    """Candidates at every boundary of (stream, start, data); the main trajectory advances by s.strength."""
+    width, strength = s.chunk * s.interval, s.strength
+    names = [f"c{i}" for i in range(len(rates))] + [f"n{i}" for i in range(len(rates))]
 
-    def curr(r: float) -> Column:
-        return F.sum(c * micro_bits(F.col("n") + c * r, F.col("seen") + F.col("bytes") * r))
-
-    def following(r: float) -> Column:
+    def work(x: Span) -> pa.RecordBatch:
+        size, (row, sym) = x.own.sum(1), np.nonzero(x.own)
+        c, here, rows = x.own[row, sym], np.flatnonzero(size), len(size)
+        n, tot, first = x.state[row, sym] * strength, x.seen[row] * strength, x.k[row] == 0
+        curr = [sums(row, c * lengths(n + c * r, tot + size[row] * r), rows) for r in rates]
         # this interval under its predecessor's state, updated by r instead of the reference strength
-        return F.sum(c * micro_bits(F.col("n") + prev * (r - s.strength), F.col("seen") + F.col("bytes_prev") * (r - s.strength)))
+        was, by = np.where(first, 0, x.prev[row, sym]), np.where(first, 0, width)
+        following = [sums(row, c * lengths(n + was * (r - strength), tot + by * (r - strength)), rows) for r in rates]
+        return pa.RecordBatch.from_arrays([pa.array([x.stream] * len(here), pa.string()), *(pa.array(v[here]) for v in (x.k, size, *curr, *following))], ["stream", "k", "bytes", *names])
 
-    aggs = [F.first("bytes").alias("bytes"), *(curr(r).alias(f"c{i}") for i, r in enumerate(rates)), *(following(r).alias(f"n{i}") for i, r in enumerate(rates))]
-    per = both.groupBy("stream", "k").agg(*aggs)
+    per = by_span(stream, s, work, "stream string, k long, bytes long, " + ", ".join(f"{c} long" for c in names), halo=True)
     w = Window.partitionBy("stream").orderBy("k")
     ahead = per.select("stream", "k", "bytes", F.lead("bytes").over(w).alias("next_bytes"), *(f"c{i}" for i in range(len(rates))), *(F.lead(f"n{i}").over(w).alias(f"n{i}") for i in range(len(rates)))).where("next_bytes is not null")
     cands = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(float(r)).alias("lr"), (F.col(f"c{i}") / 1e6).alias("curr_bits"), (F.col(f"n{i}") / 1e6).alias("next_bits")) for i, r in enumerate(rates)))

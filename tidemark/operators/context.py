@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.costs import ALPHA, UNIT, micro_bits
+from tidemark.operators.costs import lengths, micro_bits
 from tidemark.operators.streams import segments
 
 #: The context symbol where there is no byte before.
@@ -60,11 +60,6 @@ def _rank(key: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lengths(n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """micro_bits in numpy."""
-    return np.floor(-np.log2((n + ALPHA) / (total + 256 * ALPHA)) * UNIT + 0.5)
-
-
 def _walk(chunk: int, interval: int, ctxs: tuple[int, ...]):
     """Batches of (stream, data), a stream's rows one after another and in order, to stream, ctx, mode, bits: parts to be summed.
 
@@ -82,7 +77,7 @@ def _walk(chunk: int, interval: int, ctxs: tuple[int, ...]):
         prev[first] = START
         prev[0] = last
         unit, whole = pos // width, int(size[0])
-        static = (size * _lengths(np.zeros(1), np.zeros(1))[0]).astype(np.int64)
+        static = (size * lengths(np.zeros(1), np.zeros(1))[0]).astype(np.int64)
         bits, after = [], {}
         for ctx in ctxs:
             tail = prev[np.arange(len(sym)) - pos % width] if ctx else START
@@ -92,7 +87,7 @@ def _walk(chunk: int, interval: int, ctxs: tuple[int, ...]):
             if state is not None:
                 n[:whole] += state[ctx][two[:whole]]
                 total[:whole] += state[ctx].reshape(257, 256).sum(1)[c[:whole]]
-            bits.append(np.bincount(row, weights=_lengths(n, total), minlength=len(runs)).astype(np.int64))
+            bits.append(np.bincount(row, weights=lengths(n, total), minlength=len(runs)).astype(np.int64))
             if goes_on:
                 after[ctx] = np.bincount(two[first[-1] :], minlength=257 * 256) + (state[ctx] if state is not None and len(runs) == 1 else 0)
         names = [s for s, _ in runs]

@@ -82,8 +82,9 @@ def branch_domain_actions(spark, sf_dir):
 
 def branch_percent(spark, sf_dir):
     """Mean gain of each rate in percent of what skipping the update costs."""
-    t = branch.totals(coding._candidates(spark, sf_dir))
-    n = coding._candidates(spark, sf_dir).groupBy("run", "pos").agg(F.count("*").alias("n"))
+    cands = coding._candidates(spark, sf_dir)
+    t = branch.totals(cands)
+    n = cands.groupBy("run", "pos").agg(F.count("*").alias("n"))
     skip = t.where("lr = 0").select("run", F.col("total").alias("_skip"))
     out = t.join(n, ["run", "pos"]).join(skip, "run")
     return out.select("run", "lr", S.q6(branch.percent(F.col("mean_g"), F.col("n"), F.col("_skip"))).alias("gain_pct"))

@@ -27,8 +27,7 @@ def chunk_table(stream: DataFrame, config: RunConfig, prior: DataFrame | None =
 
     Of each stream at most max_bytes are coded. A chunk's bits are 8 times the bytes of its payload; headers belong to no chunk.
     """
-    counts = streams.byte_counts(chunking.prefix_cap(stream, config.max_bytes), config.chunk_size)
-    per = costs.chunk_costs(counts, schedule(config), prior)
+    per = costs.chunk_costs(chunking.prefix_cap(stream, config.max_bytes), schedule(config), prior)
     modes = ("static", "online") if config.mode == "both" else (config.mode,)
     payload = lambda c: (8 * F.ceil(F.col(c) / (8 * costs.UNIT))).cast("bigint")
     rows = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), payload(m).alias("chunk_bits")) for m in modes)))
@@ -39,12 +38,12 @@ def boundary_table(stream: DataFrame, config: RunConfig, prior: DataFrame | None
     """What the configured probe records at each boundary: transfer or candidates of branching; boundaries exist only where online coding ran."""
     if config.mode == "static":
         raise ValueError("a static run has no boundaries")
-    counts = streams.byte_counts(chunking.prefix_cap(stream, config.max_bytes), config.chunk_size)
+    kept = chunking.prefix_cap(stream, config.max_bytes)
     if config.branch_lrs:
         rates = tuple(x / UNIT_RATE * config.epochs_per_train / UNIT_EPOCHS for x in config.branch_lrs)
-        return branch.records(counts, rates, schedule(config))
+        return branch.records(kept, rates, schedule(config))
     if config.measure_gk:
-        return gk.records(costs.interval_costs(counts, schedule(config), prior))
+        return gk.records(costs.interval_costs(kept, schedule(config), prior))
     raise ValueError("the configuration asks for no probe of boundaries")
 
 
