@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 
 from tidemark import registry
+from tidemark.config import RunConfig
+from tidemark.functions import coder, lanes
 from tidemark.operators import codecs, context, costs, media, streams
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +103,32 @@ def test_costs_are_worked_out_without_joins(spark):
     text = plan(spark, "interval_measures")
     assert text.count("MapInArrow") == 2 and "Join" not in text  # counts of spans, and the costs
     assert "MapInArrow" not in plan(spark, "branch_percent") + plan(spark, "gk_cumulative_regret") + plan(spark, "rate_cumulative")  # made once, then read
+
+
+def test_lanes_code_as_the_coder_does(spark):
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 256, 5000, dtype=np.uint8).tobytes(), b"a" * 3000, bytes(1), b"to be or not to be " * 190, rng.integers(0, 2, 2048, dtype=np.uint8).tobytes(), b"\0\xff" * 33_000, bytes(rng.geometric(0.3, 70_000).clip(0, 255).astype(np.uint8))]
+    config = RunConfig()
+    rows = [(f"s{i}", d[at : at + 700], at) for i, d in enumerate(blocks) for at in range(0, len(d), 700)] + [(None, b"no stream", 0)]
+    stream = spark.createDataFrame([(s, bytearray(d), at) for s, d, at in rows], "stream string, data binary, start long")
+    settings = {"hash": config.settings_hash("online"), "interval": config.train_interval}
+    for block in (4096, 65_536):
+        want = set()
+        for name, d in [*((f"s{i}", d) for i, d in enumerate(blocks)), (None, b"no stream")]:
+            for k, at in enumerate(range(0, len(d), block)):
+                part = d[at : at + block]
+                chunks = [part[i : i + config.chunk_size] for i in range(0, len(part), config.chunk_size)]
+                packed = coder.compress(chunks, interval=config.train_interval, online=True, settings=settings)
+                assert coder.decompress(packed, interval=config.train_interval, online=True, settings=settings) == part
+                want.add((name, k, len(part), len(packed), sum(map(len, coder.parse(packed)[4])), True))
+        assert {tuple(r) for r in codecs.round_trip(stream, config, block=block).collect()} == want
+    chunks = np.frombuffer(blocks[0][:512], np.uint8).reshape(1, 512)
+    below, state = lanes.tables(chunks, np.array([512]), np.array([0]), np.array([0]), 4)
+    payload = lanes.encode(chunks, np.array([512]), below, state)
+    assert (lanes.decode(payload, np.array([512]), below, state) == chunks).all()
+    assert (lanes.decode([payload[0][:9] + b"?" + payload[0][10:]], np.array([512]), below, state) != chunks).any()
+
+
+def test_round_trips_have_no_group_of_pandas_each(spark):
+    for name in ("roundtrip_check", "eval_per_doc", "eval_totals"):
+        assert "FlatMapGroupsInPandas" not in plan(spark, name)
